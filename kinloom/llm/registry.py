@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op4_packing": packing.op4_packing,
 }
 
 SQL = {
