@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import langid, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op4_packing": packing.op4_packing,
+    "op7_language_id": langid.op7_language_id,
 }
 
 SQL = {
