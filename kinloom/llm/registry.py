@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, packing, sharding
+from . import langid, packing, quality, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op4_packing": packing.op4_packing,
     "op7_language_id": langid.op7_language_id,
 }
