@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, sharding
+from . import langid, packing, quality, sharding, spans
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_packing": packing.op4_packing,
+    "op6_substring_dedup": spans.op6_substring_dedup,
     "op7_language_id": langid.op7_language_id,
 }
 
