@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, sharding, spans
+from . import langid, minhash, packing, quality, sharding, spans
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op6_substring_dedup": spans.op6_substring_dedup,
     "op7_language_id": langid.op7_language_id,
+    "op8_minhash": minhash.op8_minhash,
 }
 
 SQL = {
