@@ -6,6 +6,8 @@ above it, needs one step for nearly every row and ends after at most b steps for
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,9 +62,7 @@ def permute(x: Column, n: Column, seed: int = 0, back: bool = False) -> Column:
 
 def permute_int(x: int, n: int, seed: int = 0) -> int:
     """The same in plain Python, for readers that look one row up."""
-    b = 1
-    while b * b < n:
-        b += 1
+    b = math.isqrt(max(n - 1, 0)) + 1
     a = -(-n // b)
     keys = round_keys(seed)
     while True:
@@ -78,3 +78,26 @@ def permute_int(x: int, n: int, seed: int = 0) -> int:
         x = left * b + right
         if x < n:
             return x
+
+
+def permute_array(x, n: int, seed: int = 0):
+    """The same for an array of numbers."""
+    import numpy as np
+
+    b = math.isqrt(max(n - 1, 0)) + 1
+    a = -(-n // b)
+    keys, out = round_keys(seed), np.array(x, np.int64)
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = np.divmod(out[todo], b)
+        for i, (add, mul) in enumerate(keys):
+            v, m = (right, a) if i % 2 == 0 else (left, b)
+            t = (v + add) % PRIME
+            f = ((t * t % PRIME) * mul + v) % PRIME % m
+            if i % 2 == 0:
+                left = (left + f) % a
+            else:
+                right = (right + f) % b
+        out[todo] = left * b + right
+        todo = todo[out[todo] >= n]
+    return out

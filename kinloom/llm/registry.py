@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, langid, minhash, packing, quality, sharding, spans
+from . import embeddings, langid, materialize, minhash, packing, quality, sharding, spans
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_minhash": minhash.op8_minhash,
     "op9_embedding_dedup": embeddings.op9_embedding_dedup,
+    "op10_training_order": materialize.op10_training_order,
 }
 
 SQL = {
