@@ -10,7 +10,9 @@ several classes, candidates are a star: each member with the bucket's most popul
 most members in all: of a group of near copies, the one most like the rest). Members first meet one centre each; the
 other stars' edges are confirmed only where their ends are still in different components. Buckets in which members
 other than the centres still are in different components get 4, 16, 64, ... further centres until none is left, so
-no pair that shares a bucket is lost. Links are confirmed on full sets: 100 * common >= 75 * union.
+no pair that shares a bucket is lost. Edges are dropped unseen only where sizes rule a link out, or where the sketches
+(a byte of each bin) agree less than a similarity of 0.75 would make them by six standard deviations. All links are
+confirmed on full sets: 100 * common >= 75 * union.
 
 Skew: copies collapse in a pre-aggregation; joins on a bucket, a class or a centre treat hot keys apart (hot_join);
 components are found by contraction over tables. The ends of the edges being confirmed are broadcast to the scan of
@@ -35,6 +37,7 @@ SHINGLE, PERCENT = 5, 75
 BINS, ROWS = 128, 4
 BROADCAST = 500_000
 PROBES = 96
+DEVIATIONS = 6
 MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 FACTORS = (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, SHINGLE + 1, dtype=np.uint64)).astype(np.uint64)
 _rng = np.random.default_rng(2017)
@@ -68,8 +71,8 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    """The bucket keys of a set that isn't empty; a key holds its band's number."""
+def values_of(s: np.ndarray) -> np.ndarray:
+    """The values of the bins of a set that isn't empty."""
     at = np.searchsorted(s, EDGES)
     full = np.append(at[1:], len(s)) > at
     values = s[np.minimum(at, len(s) - 1)]
@@ -82,26 +85,49 @@ def bands(s: np.ndarray) -> np.ndarray:
             e = empty[i]
             source[i] = (e + 1 + np.argmax(np.roll(full, -e - 1))) % BINS
         values[empty] = values[source]
+    return values
+
+
+def bands(values: np.ndarray) -> np.ndarray:
+    """The bucket keys; a key holds its band's number."""
     v = values.reshape(-1, ROWS)
     return mix((v * BAND_FACTORS[:, :ROWS]).sum(1, dtype=np.uint64) + BAND_FACTORS[:, ROWS]).view(np.int64)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, two checksums of the set, and its bucket keys (none for an empty set)."""
+    """doc_id, n_shingles, two checksums of the set, its bucket keys and a byte of each bin (none for an empty set)."""
 
     def run(batches):
         for batch in batches:
-            n, k1, k2, keys = [], [], [], []
+            n, k1, k2, keys, sketch = [], [], [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py())
                 n.append(len(s))
                 k1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int((s * MIX[1] ^ (s >> np.uint64(17))).sum(dtype=np.uint64).view(np.int64)))
-                keys.append(bands(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "k1", "k2", "bands"])
+                values = values_of(s) if len(s) else s
+                keys.append(bands(values) if len(s) else [])
+                sketch.append(values.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
+
+
+def plausible(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """The edges whose sketches agree in at least the share that a similarity of 0.75 gives, less DEVIATIONS deviations."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (3, 4))
+            full = BINS * (1 - np.exp(-batch.column(2).to_numpy(zero_copy_only=False) / BINS))
+            least = PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / full)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
+
+    a = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
+    b = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("y"))
+    rows = hot_join(hot_join(edges, a, ["a"]), b, ["b"]).select("a", "b", F.least("n", "m").alias("n"), "x", "y")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def confirm(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,20 +161,25 @@ def confirm(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, rep, size, pop, center) for the members of every bucket of several classes; as a table."""
-    members = classes.select("rep", F.explode("bands").alias("key"))
+    """(key, rep, n, size, pop, center, cn) for the members of every bucket of several classes; as a table. n, cn: set sizes."""
+    members = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     held = materialize(hot_join(members, sizes, ["key"]), "members")
     pops = held.groupBy("rep").agg(F.sum("size").alias("pop"))
     held2 = materialize(held.join(pops, "rep"), "members")
     tops = materialize(held2.groupBy("key").agg(F.max("pop").alias("top")), "tops")
-    first = hot_join(held2, tops, ["key"]).filter("pop = top").groupBy("key").agg(F.min("rep").alias("center"))
+    first = hot_join(held2, tops, ["key"]).filter("pop = top").groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c")).select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("cn"))
     out = materialize(hot_join(held2, materialize(first, "centers"), ["key"]), "buckets")
     drop_table(held)
     drop_table(held2)
     return out
 
 
+def near(n: str, m: str):
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+
+
 def pair(x, y):
     return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
@@ -157,9 +188,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id and kept of every document; see the module."""
     sig = materialize(signatures(docs, id_col, text_col), "signatures")
     sets = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    held = buckets(classes.select("rep", "bands"))
-    stars = held.filter("rep != center")
+    classes = materialize(sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    held = buckets(classes.select("rep", "n_shingles", "bands"))
+    stars = held.filter("rep != center").filter(near("n", "cn"))
 
     def labelled(rows: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
         return rows.join(labels.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
@@ -170,7 +201,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = connected_components(links)
     # the other edges of the stars, between different components
     rest = labelled(labelled(stars.select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b")
-    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(plausible(materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest"), classes), "rest")
     done = 1  # so many centres a bucket are over
     open_ = None
     while True:
@@ -184,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if open_ is None:
             ranked = labelled(held.filter("size > 2").select("key", "rep", "pop", "center"), labels, "rep", "comp")
             loose = ranked.filter("rep != center").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            open_ = held.join(loose, "key", "left_semi").select("key", "rep", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pop"), "rep")).alias("ord"))
+            open_ = held.join(loose, "key", "left_semi").select("key", "rep", "n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pop"), "rep")).alias("ord"))
         else:
             ranked = labelled(open_.filter(F.col("ord") > done), labels, "rep", "comp")
             loose = ranked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
@@ -194,9 +225,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         now = labelled(open_.filter(F.col("ord") > done), labels, "rep", "comp")
         more = done * 4
-        centers = now.filter(F.col("ord") <= more).select("key", F.col("rep").alias("center"), F.col("ord").alias("at"), F.col("comp").alias("cc"))
-        rest = now.join(centers, "key").filter("ord > at AND comp != cc").select(*pair(F.col("rep"), F.col("center"))).distinct()
+        centers = now.filter(F.col("ord") <= more).select("key", F.col("rep").alias("center"), F.col("n").alias("cn"), F.col("ord").alias("at"), F.col("comp").alias("cc"))
+        rest = now.join(centers, "key").filter("ord > at AND comp != cc").filter(near("n", "cn")).select(*pair(F.col("rep"), F.col("center"))).distinct()
         rest = materialize(rest.join(tried.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti"), "rest")
+        rest = materialize(plausible(rest, classes), "rest")
         done = more
     tops = materialize(labelled(classes.select("n_shingles", "k1", "k2", "rep"), labels, "rep", "component_id"), "tops")
     ids = hot_join(sets.select("doc_id", "n_shingles", "k1", "k2"), tops.select("n_shingles", "k1", "k2", "component_id"), ["n_shingles", "k1", "k2"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xxhash
 
-MOST = 1_000_000
+MOST = 250_000
 
 
 class Hashes(dict):
