@@ -5,14 +5,14 @@ the whole run; without words it is empty. One permutation: the top bits of a has
 of a bin is its value; empty bins borrow from a full one by optimal densification (each tries its own fixed sequence of
 bins). ROWS bins make a band and each band a bucket; at a similarity of 0.75, 32 bands of 4 miss 5 pairs in a million.
 
-Documents with equal sets are one class, represented by its least id, before anything is paired. In every bucket of
-several classes, candidates are a star: each member with the bucket's most popular member (the one whose buckets hold
-most members in all: of a group of near copies, the one most like the rest). Members first meet one centre each; the
-other stars' edges are confirmed only where their ends are still in different components. Buckets in which members
-other than the centres still are in different components get 4, 16, 64, ... further centres until none is left, so
-no pair that shares a bucket is lost. Edges are dropped unseen only where sizes rule a link out, or where the sketches
-(a byte of each bin) agree less than a similarity of 0.75 would make them by six standard deviations. All links are
-confirmed on full sets: 100 * common >= 75 * union.
+Documents with equal sets are one class, represented by its least id, before anything is paired. In every bucket,
+candidates are stars: each member with STARS centres, the bucket's most popular member (the one whose buckets hold most
+members in all: of a group of near copies, the one most like the rest) and others drawn by a hash of the bucket; in
+buckets of up to ALL members everyone is a centre in turn. So a bucket gives a number of edges linear in its members,
+and two documents that could link meet a common centre, or each other, in about ten buckets. Members first meet one
+popular centre each; the other edges are confirmed only where their ends are still in different components, and dropped
+unseen only where set sizes rule a link out, or where the sketches (a byte of each bin) agree less than a similarity of
+0.75 would make them by six standard deviations. All links are confirmed on full sets: 100 * common >= 75 * union.
 
 Skew: copies collapse in a pre-aggregation; joins on a bucket, a class or a centre treat hot keys apart (hot_join);
 components are found by contraction over tables. The ends of the edges being confirmed are broadcast to the scan of
@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, drop_table, hot_join, materialize
@@ -35,6 +35,7 @@ from .words import HASHES
 
 SHINGLE, PERCENT = 5, 75
 BINS, ROWS = 128, 4
+STARS, ALL = 3, 8
 BROADCAST = 500_000
 PROBES = 96
 DEVIATIONS = 6
@@ -161,17 +162,23 @@ def confirm(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, rep, n, size, pop, center, cn) for the members of every bucket of several classes; as a table. n, cn: set sizes."""
+    """(key, rep, n, size, centers) for the members of every bucket of several classes; as a table. n: the set's size.
+
+    centers: structs (c, cn) of the most popular member first, then of STARS - 1 drawn by hash; up to ALL members, of all.
+    """
     members = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     held = materialize(hot_join(members, sizes, ["key"]), "members")
     pops = held.groupBy("rep").agg(F.sum("size").alias("pop"))
-    held2 = materialize(held.join(pops, "rep"), "members")
-    tops = materialize(held2.groupBy("key").agg(F.max("pop").alias("top")), "tops")
-    first = hot_join(held2, tops, ["key"]).filter("pop = top").groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c")).select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("cn"))
-    out = materialize(hot_join(held2, materialize(first, "centers"), ["key"]), "buckets")
+    known = materialize(held.join(pops, "rep"), "members")
+    who = F.struct(F.col("rep").alias("c"), F.col("n").alias("cn"))
+    drawn = [F.min_by(who, F.xxhash64("rep", "key", F.lit(i))).alias(f"r{i}") for i in range(1, STARS)]
+    large = known.filter(F.col("size") > ALL).groupBy("key").agg(F.max_by(who, F.struct("pop", -F.col("rep"))).alias("r0"), *drawn)
+    small = known.filter(F.col("size") <= ALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("pop")).alias("p"), who.alias("w")))).alias("ws"))
+    centers = large.select("key", F.array(*(f"r{i}" for i in range(STARS))).alias("centers")).unionByName(small.select("key", F.transform("ws", lambda x: x["w"]).alias("centers")))
+    out = materialize(hot_join(known.select("key", "rep", "n", "size"), materialize(centers, "centers"), ["key"]), "buckets")
     drop_table(held)
-    drop_table(held2)
+    drop_table(known)
     return out
 
 
@@ -190,46 +197,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     held = buckets(classes.select("rep", "n_shingles", "bands"))
-    stars = held.filter("rep != center").filter(near("n", "cn"))
 
     def labelled(rows: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
         return rows.join(labels.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
 
-    # each member with one centre
-    tried = materialize(stars.groupBy("rep").agg(F.max(F.struct("size", F.col("center"))).alias("c")).select(F.col("rep").alias("a"), F.col("c.center").alias("b")), "tried")
+    # each member with one popular centre, that of its largest bucket
+    first = F.col("centers")[0]
+    firsts = held.select("rep", "n", "size", first["c"].alias("c"), first["cn"].alias("cn")).filter("rep != c").filter(near("n", "cn"))
+    tried = materialize(firsts.groupBy("rep").agg(F.max(F.struct("size", "c")).alias("x")).select(F.col("rep").alias("a"), F.col("x.c").alias("b")), "tried")
     links = confirm(docs, tried, id_col, text_col)
     labels = connected_components(links)
-    # the other edges of the stars, between different components
-    rest = labelled(labelled(stars.select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct(), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b")
-    rest = materialize(plausible(materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest"), classes), "rest")
-    done = 1  # so many centres a bucket are over
-    open_ = None
-    while True:
-        if not rest.isEmpty():
-            new = confirm(docs, rest, id_col, text_col)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                labels = connected_components(links)
-            tried = tried.unionByName(rest)
-        # buckets with members beyond the centres in several components
-        if open_ is None:
-            ranked = labelled(held.filter("size > 2").select("key", "rep", "pop", "center"), labels, "rep", "comp")
-            loose = ranked.filter("rep != center").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            open_ = held.join(loose, "key", "left_semi").select("key", "rep", "n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pop"), "rep")).alias("ord"))
-        else:
-            ranked = labelled(open_.filter(F.col("ord") > done), labels, "rep", "comp")
-            loose = ranked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            open_ = open_.join(loose, "key", "left_semi")
-        open_ = materialize(open_, "open")
-        if open_.isEmpty():
-            break
-        now = labelled(open_.filter(F.col("ord") > done), labels, "rep", "comp")
-        more = done * 4
-        centers = now.filter(F.col("ord") <= more).select("key", F.col("rep").alias("center"), F.col("n").alias("cn"), F.col("ord").alias("at"), F.col("comp").alias("cc"))
-        rest = now.join(centers, "key").filter("ord > at AND comp != cc").filter(near("n", "cn")).select(*pair(F.col("rep"), F.col("center"))).distinct()
-        rest = materialize(rest.join(tried.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti"), "rest")
-        rest = materialize(plausible(rest, classes), "rest")
-        done = more
+    # all other edges of the stars whose ends are still apart
+    stars = held.select("rep", "n", F.explode("centers").alias("x")).select("rep", "n", "x.c", "x.cn").filter("rep != c").filter(near("n", "cn"))
+    apart = labelled(labelled(stars.select(*pair(F.col("rep"), F.col("c"))).distinct(), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b")
+    rest = materialize(apart.join(tried.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti"), "rest")
+    rest = materialize(plausible(rest, classes), "rest")
+    if not rest.isEmpty():
+        new = confirm(docs, rest, id_col, text_col)
+        if not new.isEmpty():
+            labels = connected_components(links.unionByName(new))
     tops = materialize(labelled(classes.select("n_shingles", "k1", "k2", "rep"), labels, "rep", "component_id"), "tops")
     ids = hot_join(sets.select("doc_id", "n_shingles", "k1", "k2"), tops.select("n_shingles", "k1", "k2", "component_id"), ["n_shingles", "k1", "k2"])
     ids = ids.select("doc_id", "n_shingles", "component_id")
