@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join treats a key as hot when it holds more than one in so many rows; so there are at most so many hot keys.
 HOT_KEYS = 1024
+SLICE = 1 << 22
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,6 +40,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, column: int):
+    """Arrow batches in parts of about SLICE bytes of a text column, for functions that make Python objects of them; a longer text is a part of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE, prepend=0))
+        edges = [0, *(i for i in at.tolist() if i), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield batch.slice(a, b - a)
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Jobs that run inside hand at most so many rows at once to Python; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files behind a table made by materialize()."""
     spark = df.sparkSession

@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 ORDER = 3
 PER_LANGUAGE = 512
 MOST_BYTES = 1 << 20
 SALTS = 64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -160,9 +162,11 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, id_c
     df = docs.select(*(docs[c] for c in carry), text) if carry else docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", lang_pred string, score double"
 
+    last = len(df.columns) - 1
+
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches, last):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             at = [i for i, t in enumerate(texts) if t and m.langs and LETTER.search(t)]
             pred, score = ["und"] * len(texts), np.zeros(len(texts))

@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_table, hot_join, materialize
+from .common import arrow_rows, connected_components, drop_table, hot_join, materialize
 from .words import HASHES
 
 SHINGLE, PERCENT = 5, 75
 BINS, ROWS = 128, 4
 STARS, ALL = 3, 8
 BROADCAST = 500_000
+AT_ONCE = 1000  # texts and sets in an Arrow batch
 PROBES = 96
 DEVIATIONS = 6
 MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -193,6 +194,11 @@ def pair(x, y):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; see the module."""
+    with arrow_rows(docs.sparkSession, AT_ONCE):
+        return _near_duplicates(docs, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sig = materialize(signatures(docs, id_col, text_col), "signatures")
     sets = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")

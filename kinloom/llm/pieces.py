@@ -27,14 +27,14 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 LOCKSTEP, CHUNK, CACHE = 128, 20_000, 300_000
-SLICE = 1 << 22
 NONE = np.int32(2**31 - 1)
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -185,16 +185,6 @@ def split_words(text: str) -> list[str]:
     return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def slices(batches):
-    """The batches (id, text) in parts of about SLICE bytes of text; a longer text is a part of its own."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE, prepend=0))
-        edges = [0, *(i for i in at.tolist() if i), batch.num_rows]
-        for a, b in zip(edges, edges[1:], strict=False):
-            yield batch.slice(a, b - a)
-
-
 def decode_ids(ids, p: Pieces) -> str:
     text = b"".join(map(p.texts.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
@@ -210,7 +200,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
     def run(batches):
         p, known = pieces(model), {}
-        for batch in slices(batches):
+        for batch in slices(batches, 1):
             texts = [None if t is None else split_words(t) for t in batch.column(1).to_pylist()]
             if len(known) > CACHE:
                 known = {}

@@ -6,7 +6,7 @@ as rates, the features of the forest. The forest is grown on documents labelled
 bounded sample, SAMPLE rows by order of a hash of the id): trees of random splits over random subsets. Anomalous
 documents are isolated by few splits, so a short mean path is a high anomaly score, 2 to the minus path over the
 expected path. The threshold is the one that separates labelled rows best (Youden's index) among those that keep at
-least KEEP_GOOD of the good ones.
+least KEEP_GOOD of the good ones, OUTLIERS (rows labelled wrongly) not counted.
 
 Defined cases. A null or empty text has zero counts and fails the base rules. Without labelled good rows there is no
 forest and the base rules alone decide; without bad ones the threshold is the KEEP_GOOD quantile of the good. Labels
@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SAMPLE = 20_000
 TREES, SUBSET = 200, 256
-KEEP_GOOD = 0.995
+KEEP_GOOD, OUTLIERS = 0.995, 2
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_caps_words"]
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -137,7 +139,7 @@ def grow(x: np.ndarray, seed: int = 7) -> Forest:
 def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, keep_good: float = KEEP_GOOD) -> Forest:
     """Sets the threshold: scores above it are anomalous."""
     g = np.sort(forest.score(good))
-    least = float(g[min(len(g) - 1, math.ceil(keep_good * len(g)) - 1)])
+    least = float(g[max(0, min(len(g) - 1 - OUTLIERS, math.ceil(keep_good * len(g)) - 1))])
     if len(bad):
         b = np.sort(forest.score(bad))
         at = np.unique(np.concatenate([g[g >= least], [least]]))
@@ -183,9 +185,11 @@ def judge(docs: DataFrame, forest: Forest, carry: list[str] | None = None, id_co
     df = docs.select(*(docs[c] for c in carry) if carry else [docs[id_col].cast("long").alias("doc_id")], docs[text_col].alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]), *(f"{c} long" for c in COUNTS), "base_failed boolean", "anomaly double", "kept boolean"])
 
+    last = len(df.columns) - 1
+
     def run(batches):
         f = shared.value
-        for batch in batches:
+        for batch in slices(batches, last):
             if not batch.num_rows:
                 continue
             texts = batch.column(batch.num_columns - 1)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, materialize, slices
 from .words import HASHES
 
 SENTENCES, MIN_WORDS, CUT, LONGEST = 3, 20, 6, 32
@@ -166,8 +166,10 @@ def dedup(docs: DataFrame, carry: list[str], count: int = SENTENCES, min_words:
     df = docs.select(*(docs[c] for c in carry), docs[text_col].alias("__text"), docs[id_col].cast("long").alias("__id")).join(lists, "__id", "left").select(*carry, "__text", "__removed")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-2]), f"`{text_col}` string", *(f"{c} long" for c in ADDED)])
 
+    last = len(df.columns) - 2
+
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, last):
             k = batch.num_columns
             texts, stats = [], []
             for text, removed in zip(batch.column(k - 2), batch.column(k - 1), strict=True):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xxhash
 
-MOST = 250_000
+MOST = 150_000
 
 
 class Hashes(dict):
