@@ -464,7 +464,13 @@ def vec_best_match(spark, sf_dir):
     return rows.groupBy("vec_id").agg((F.max("sim") >= 0.68).alias("strong"), F.max_by("o", F.struct(F.round("sim", 9), -F.col("o"))).alias("best"))
 
 
-@query()
+GREEDY_SQL = f"""{MATCH_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, edges AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS r FROM scored),
+  g AS (SELECT 0::BIGINT AS r, []::VARCHAR[] AS used, false AS ok UNION ALL
+    SELECT e.r, CASE WHEN x THEN list_concat(used, [a, b]) ELSE used END, x FROM (SELECT e.*, used, len(list_filter(used, lambda v: v = a)) < 3 AND len(list_filter(used, lambda v: v = b)) < 3 AS x FROM g JOIN edges e ON e.r = g.r + 1) e)
+SELECT a, b, score, reciprocal FROM g JOIN edges USING (r) WHERE ok"""
+
+
+@query(GREEDY_SQL)
 def greedy_capped_match(spark, sf_dir):
     return matching.greedy_match(materialize(matching.score_pairs(vectors_of(spark, sf_dir)), "scored")).select("a", "b", "score", "reciprocal")
 
