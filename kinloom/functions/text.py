@@ -120,6 +120,22 @@ def render_pair(index: Column, score: Column) -> Column:
     return F.concat(F.lit("  Pair "), index.cast("string"), F.lit(" (fuzzy score "), score.cast("string"), F.lit("):\n    Record A ("), F.col("ra.id"), F.lit("):\n"), render_record("ra"), F.lit("\n    Record B ("), F.col("rb.id"), F.lit("):\n"), render_record("rb"))
 
 
+def render_person(record: str) -> Column:
+    """A record for classification; lists joined, empty fields marked."""
+    fields = ["full_name", "email", "linkedin_url", "company", "title", "location", "bio"]
+    own = [F.concat(F.lit(f"    {c}: "), F.coalesce(F.nullif(F.col(f"{record}.{c}"), F.lit("")), F.lit("(empty)"))) for c in fields]
+    lists = [F.concat(F.lit(f"    {c}: "), F.coalesce(F.nullif(F.array_join(f"{record}.{c}", "; "), F.lit("")), F.lit("(empty)"))) for c in ("needs", "offers")]
+    return F.concat_ws("\n", F.concat(F.lit("  person_id: "), F.col(f"{record}.id")), *own, *lists)
+
+
+def render_intro(index: Column, need: Column, offer: Column, back_need: Column, back_offer: Column, reciprocal: Column) -> Column:
+    """A numbered suggestion (structs ra, rb) for drafting; the way back only where both sides gain."""
+    who = lambda r: F.concat_ws(" — ", F.coalesce(F.nullif(F.col(f"{r}.full_name"), F.lit("")), F.lit("(unnamed)")), F.nullif(F.col(f"{r}.title"), F.lit("")), F.nullif(F.col(f"{r}.company"), F.lit("")))
+    line = lambda k, v: F.concat(F.lit(f"    {k}: "), v)
+    back = F.when(reciprocal & (F.coalesce(back_need, F.lit("")) != ""), F.concat_ws("\n", line("B needs", back_need), line("A offers", back_offer)))
+    return F.concat_ws("\n", F.concat(F.lit("  pair "), index.cast("string"), F.lit(":")), line("person_a", who("ra")), line("person_b", who("rb")), line("reciprocal", F.initcap(reciprocal.cast("string"))), line("A needs", need), line("B offers", offer), back)
+
+
 def field_spec() -> str:
     """The closed lists, one a line, for a prompt."""
     return "\n".join(f"  {name:<14} {' | '.join(values)}" for name, values in ENUMS.items())

@@ -87,7 +87,7 @@ def test_texts(spark):
     assert run(spark, text.first_name, ["UMA KUMAR", None]) == ["Uma", "They"]
     assert run(spark, text.match_reason, ["name 100.0, company 95.0, title agrees: True", "identical normalized email", "other", None]) == ["Names match exactly, company matches almost exactly, same role", "Identical email address", "other", ""]
     assert run(spark, text.intro_reason, ["They should meet because x needs y", "a"]) == ["X needs y", "A"]
-    assert run(spark, lambda c: text.truncate_words(c, 10), ["short", "a word cut here", "unbrokenlongword"]) == ["short", "a word cut…", "unbrokenlo…"]
+    assert run(spark, lambda c: text.truncate_words(c, 10), ["short", "a word cut here", "unbrokenlongword"]) == ["short", "a word…", "unbrokenlo…"]
     assert run(spark, text.score_bullet, ["persona_fit: 30 of 30", "other: x"]) == ["Persona fit: 30 of 30", "other: x"]
     assert run(spark, lambda c: text.score100(c.cast("double")), ["0.925", "92.5", None]) == ["93", "93", "—"]
     assert text.estimate_tokens(5, 1000) == {"suggestions": 5, "batch_size": 4, "batches": 2, "est_prompt_tokens": 1340, "est_completion_tokens": 1360, "est_total_tokens": 2700}

@@ -224,3 +224,29 @@ def test_stream_of_decisions(spark, tmp_path):
     (src / "2.json").write_text('{"a": "y", "b": "x", "decision": "keep_both", "decided_at": "2025-01-02 00:00:00"}\n')
     stream.fold(stream.read_stream(spark, str(src)), root, ck).awaitTermination()
     assert [(r.a, r.b, r.decision) for r in stream.state(spark, root).collect()] == [("x", "y", "keep_both")]
+
+
+def test_answers(spark):
+    from kinloom.sources import answers
+
+    table = spark.createDataFrame([("k1", "old", "1"), ("k1", "new", "2")], "key string, response string, created_at string")
+    asked = answers.ask(spark.createDataFrame([("k1", "p1"), ("k2", "p2")], "key string, payload string"), answers.Replay(table))
+    assert {r.key: (r.response, r.hit) for r in asked.collect()} == {"k1": ("new", True), "k2": (None, False)}
+    u = answers.usage(asked, 10).first()
+    assert (u.cache_hits, u.misses, u.calls, u.hit_rate, u.within_budget) == (1, 1, 1, 0.5, True)
+    with pytest.raises(LookupError):
+        answers.ask(spark.createDataFrame([("k9", "p")], "key string, payload string"), answers.Replay(table), strict=True)
+    assert [r.payloads for r in answers.batches(spark.createDataFrame([("b", "2"), ("a", "1"), ("c", "3")], "key string, payload string"), 2).orderBy("batch").collect()] == [["1", "2"], ["3"]]
+
+
+def test_prompts(spark):
+    from kinloom.functions import text
+
+    rows = cascade.attach(spark.createDataFrame([("p-0001", "p-0002")], "a string, b string"), norm(spark, {}, {"email": None}))
+    prompt = rows.select(text.render_pair(F.lit(3), F.lit(88.5)).alias("t")).first().t
+    assert prompt.startswith("  Pair 3 (fuzzy score 88.5):\n    Record A (p-0001):") and "email: (missing)" in prompt
+    intro = rows.select(text.render_intro(F.lit(0), F.lit("n"), F.lit("o"), F.lit("bn"), F.lit("bo"), F.lit(True)).alias("t")).first().t
+    assert intro.endswith("B needs: bn\n    A offers: bo") and "reciprocal: True" in intro
+    person = people(spark, {"needs": ["x", "y"]}).select(F.struct("*").alias("r")).select(text.render_person("r").alias("t")).first().t
+    assert "needs: x; y" in person and person.endswith("offers: (empty)")
+    assert "persona" in text.field_spec()
