@@ -1,43 +1,18 @@
-"""What the operators share: scratch tables, skew-safe joins and connected components."""
+"""What the operators share: Arrow batches of bounded size, and the library's tables, joins and components."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A join treats a key as hot when it holds more than one in so many rows; so there are at most so many hot keys.
-HOT_KEYS = 1024
-SLICE = 1 << 22
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests), an own one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="kinloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+from pyspark.sql import SparkSession
 
+from ..operators.shared import connected_components, drop_table, hot_join, materialize, scratch_path
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["arrow_rows", "connected_components", "drop_table", "hot_join", "materialize", "scratch_path", "slices"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: a short lineage that outlives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+SLICE = 1 << 22
 
 
 def slices(batches, column: int):
@@ -60,66 +35,3 @@ def arrow_rows(spark: SparkSession, most: int):
         yield
     finally:
         spark.conf.set(name, before)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files behind a table made by materialize()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
-
-
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Joins left, of many rows a key, to right, of one row a key, on columns that aren't null in left.
-
-    Keys that hold more than 1/HOT_KEYS of left's rows, so at most HOT_KEYS of them, are found by a pre-aggregated
-    count and joined by a broadcast of their rows of right; all others are joined by a shuffle. Both inputs should be
-    tables: each is read twice.
-    """
-    total = left.count()
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > total / HOT_KEYS + 1)
-    hot = [tuple(r[c] for c in on) for r in counts.select(*on).collect()]
-    if not hot:
-        return left.join(right, on, how)
-    keys = left.sparkSession.createDataFrame(hot, left.select(*on).schema)
-    warm = left.join(F.broadcast(keys), on, "left_semi").join(F.broadcast(right.join(F.broadcast(keys), on, "left_semi")), on, how)
-    cold = left.join(F.broadcast(keys), on, "left_anti").join(right, on, how)
-    return warm.unionByName(cold)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of the edges (a, b); component is the smallest node reachable.
-
-    Contraction: every node hangs itself on its smallest neighbour, chains are shortened by pointer jumping, and the
-    edges are rewritten between the roots until none is left. Nothing but counts comes to the driver, each round is a
-    written table, and hot nodes are joined by broadcast.
-    """
-    now = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    labels = None
-    while not now.isEmpty():
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).withColumnRenamed("a", "node"), "parent")
-        while True:
-            upper = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            higher = materialize(hot_join(parent, upper, ["up"]).select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "parent")
-            still = higher.filter("moved").isEmpty()
-            drop_table(parent)
-            parent = higher.select("node", "up")
-            if still:
-                break
-        if labels is None:
-            labels = materialize(parent.select("node", F.col("up").alias("component")), "labels")
-        else:
-            moved = hot_join(labels, parent.select(F.col("node").alias("component"), "up"), ["component"], "left")
-            new = materialize(moved.select("node", F.coalesce("up", "component").alias("component")), "labels")
-            drop_table(labels)
-            labels = new
-        half = materialize(hot_join(now, parent.select(F.col("node").alias("a"), F.col("up").alias("ra")), ["a"]).select("b", "ra"), "half")
-        moved = hot_join(half, parent.select(F.col("node").alias("b"), F.col("up").alias("rb")), ["b"])
-        new = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a < b").distinct(), "edges")
-        for table in (half, parent, now):
-            drop_table(table)
-        now = new
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
