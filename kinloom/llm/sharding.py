@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .feistel import PRIME, ROUNDS, permute, round_keys
 
 BUCKETS = 4096
@@ -40,6 +41,7 @@ def row_numbers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies"))
     mixed = F.pmod(F.coalesce("doc_id", F.lit(-1)), F.lit(PRIME)) * 48271 + F.col("text_crc32") % PRIME
     groups = groups.withColumn("bucket", (mixed % PRIME * 69621 % PRIME % BUCKETS).cast("int"))
+    groups = materialize(groups, "groups")  # small rows; the texts are read once
     every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.groupBy("bucket").agg(F.sum("copies").alias("held"))
     offsets = offsets.select("bucket", F.coalesce(F.sum("held").over(every), F.lit(0)).alias("offset"), F.sum("held").over(Window.partitionBy()).alias("n"))
@@ -66,7 +68,7 @@ def op1_sharding(spark, sf_dir: str) -> DataFrame:
 
 def op1_sql(shards: int = 8, seed: int = 20240101) -> str:
     """The same in DuckDB: checksum by table, numbers by windows, the walk by recursion."""
-    turns, at = [], "y0"
+    turns = []
     for i, (add, mul) in enumerate(round_keys(seed)):
         v, w, m = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
         t = f"(({v} + {add}) % {PRIME})"
@@ -76,7 +78,7 @@ def op1_sql(shards: int = 8, seed: int = 20240101) -> str:
     inner = "(SELECT *, x // b AS l, x % b AS r FROM walk WHERE NOT done)"
     for keep in turns:
         inner = f"({keep}{inner})"
-    assert len(turns) == ROUNDS and at
+    assert len(turns) == ROUNDS
     return f"""
 WITH RECURSIVE tab AS (
   SELECT list(v ORDER BY i) AS t FROM (
