@@ -54,13 +54,12 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     """
     total = left.count()
     counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > total / HOT_KEYS + 1)
-    hot = [tuple(r[c] for c in on) for r in counts.select(*on).collect()]
+    hot = [r.h for r in counts.select(F.xxhash64(*on).alias("h")).collect()]
     if not hot:
         return left.join(right, on, how)
-    keys = left.sparkSession.createDataFrame(hot, left.select(*on).schema)
-    warm = left.join(F.broadcast(keys), on, "left_semi").join(F.broadcast(right.join(F.broadcast(keys), on, "left_semi")), on, how)
-    cold = left.join(F.broadcast(keys), on, "left_anti").join(right, on, how)
-    return warm.unionByName(cold)
+    is_hot = F.xxhash64(*on).isin(hot)  # the same on both sides, whatever else has the hash
+    warm = left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), on, how)
+    return warm.unionByName(left.filter(~is_hot).join(right.filter(~is_hot), on, how))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
