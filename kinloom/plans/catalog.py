@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import similarity, text
-from ..functions.tables import REASONS
+from ..functions.tables import INITIAL_SCORE, REASONS
 from ..operators import blocking, cascade, decisions, enrichment, evaluate, matching, rubric, survivorship
 from ..operators.records import describe_gaps, histogram, normalize_records
 from ..operators.shared import connected_components, materialize
+from ..sources import answers, layers
 from . import oracle as O  # noqa: N812
 from . import reports
 from .people import people, tables
@@ -634,3 +635,71 @@ def holdout_compare(spark, sf_dir):
     li = tables(spark, sf_dir, "lineitem")["lineitem"]
     run = lambda cond: li.filter(cond).groupBy(F.col("l_returnflag").alias("metric")).agg(F.round(F.avg("l_discount"), 4).alias("value"))
     return evaluate.compare_runs(run("l_linenumber <= 3"), run("l_linenumber > 3"))
+
+
+# --- layers, answers and texts ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {O.KEYS}, {O.SIDES} SELECT a, b, coalesce({O.fits('af', 'bf')} AND {O.fits('al', 'bl')} AND NOT (af = bf AND al = bl), false) AS lifted FROM settled")
+def initials_match(spark, sf_dir):
+    n = norm(spark, sf_dir)
+    rows = cascade.attach(blocking.candidates(n), n)
+    return rows.select("a", "b", (similarity.name_score("ra", "rb", F.lit(1.0)) == INITIAL_SCORE).alias("lifted"))
+
+
+@query(f"WITH {O.KEYS} SELECT a, b, array_to_string(list_transform(keys, lambda k: {O.mapping(text.KEY_LABELS)}[k]), ', ') AS label FROM cand")
+def blocking_labels(spark, sf_dir):
+    return blocking.candidates(norm(spark, sf_dir)).select("a", "b", text.blocking_keys(F.col("keys")).alias("label"))
+
+
+UPSERT_SQL = f"""WITH people AS ({O.PEOPLE_SQL}), new AS (SELECT * REPLACE ('Advisor' AS title) FROM people WHERE CAST(substr(id, 3) AS BIGINT) % 3 = 0),
+  old AS (SELECT * FROM people WHERE CAST(substr(id, 3) AS BIGINT) % 2 = 0) SELECT id, title, ingested_at, merged_into FROM (
+  SELECT id, title, '2024-01-02' AS ingested_at, NULL::VARCHAR AS merged_into FROM new UNION ALL SELECT id, title, '2024-01-01', 'p-x' FROM old WHERE id NOT IN (SELECT id FROM new))"""
+
+
+@query(UPSERT_SQL)
+def people_upsert(spark, sf_dir):
+    rows = materialize(people(spark, sf_dir), "people")
+    k = F.col("id").substr(3, 8).cast("long")
+    old = rows.filter(k % 2 == 0).withColumns({"ingested_at": F.lit("2024-01-01"), "merged_into": F.lit("p-x")})
+    return layers.load_people(old, rows.filter(k % 3 == 0).withColumn("title", F.lit("Advisor")), "2024-01-02").select("id", "title", "ingested_at", "merged_into")
+
+
+@query("""WITH q AS (SELECT event_id, user_id % 3 != 0 AS hit FROM events), c AS (SELECT count(*) FILTER (hit) AS cache_hits, count(*) FILTER (NOT hit) AS misses FROM q)
+SELECT cache_hits, misses, ceil(misses / 8)::BIGINT AS calls, round(cache_hits / (cache_hits + misses), 4) AS hit_rate, ceil(misses / 8) <= 300 AS within_budget FROM c""")
+def answer_usage(spark, sf_dir):
+    e = tables(spark, sf_dir, "events")["events"].select(F.col("event_id").cast("string").alias("key"), F.col("props").alias("payload"), "user_id", F.col("ts").alias("created_at"))
+    cached = answers.Replay(e.filter("user_id % 3 != 0").withColumn("response", F.col("payload")))
+    return answers.usage(answers.ask(e.select("key", "payload"), cached), 8)
+
+
+@query(f"WITH e AS ({ENRICH_SQL}) SELECT o_custkey AS person, coalesce(persona, 'unknown') AS persona, coalesce(confidence, 0) AS confidence, coalesce(confidence, 0) < 0.5 AS low_confidence FROM (SELECT DISTINCT o_custkey + 100 AS o_custkey FROM orders) LEFT JOIN e ON person_id = CAST(o_custkey AS STRING)")
+def enrichment_complete(spark, sf_dir):
+    ids = tables(spark, sf_dir, "orders")["orders"].select((F.col("o_custkey") + 100).cast("string").alias("id")).distinct()
+    return enrichment.complete(ids, answers_of(spark, sf_dir)).select(F.col("person_id").cast("long").alias("person"), "persona", "confidence", "low_confidence")
+
+
+@query(f"WITH e AS ({ENRICH_SQL}) SELECT o_custkey AS person FROM (SELECT DISTINCT o_custkey + 100 AS o_custkey FROM orders) WHERE CAST(o_custkey AS STRING) NOT IN (SELECT person_id FROM e WHERE confidence > 0)")
+def enrichment_remaining(spark, sf_dir):
+    ids = tables(spark, sf_dir, "orders")["orders"].select((F.col("o_custkey") + 100).cast("string").alias("id")).distinct()
+    return enrichment.remaining(ids, answers_of(spark, sf_dir)).select(F.col("id").cast("long").alias("person"))
+
+
+@query(f"WITH people AS ({O.PEOPLE_SQL}), t AS (SELECT id, CASE WHEN regexp_matches(full_name, '[a-z]') THEN full_name ELSE array_to_string(list_transform(string_split(full_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') END AS shown FROM people) SELECT id, shown, split_part(shown, ' ', 1) AS first FROM t")
+def display_names(spark, sf_dir):
+    return materialize(people(spark, sf_dir), "people").select("id", text.title_case(F.col("full_name")).alias("shown"), text.first_name(F.col("full_name")).alias("first"))
+
+
+@query(f"WITH people AS ({O.PEOPLE_SQL}) SELECT id, replace(concat_ws(' ', nullif(title, ''), nullif(company, ''), nullif(bio, '')), '_', ' ') AS profile FROM people")
+def profile_text(spark, sf_dir):
+    null = F.lit(None).cast("string")
+    rows = materialize(people(spark, sf_dir), "people").withColumns({c: null for c in ("persona", "sector", "geography")})
+    return rows.select("id", text.profile_text().alias("profile"))
+
+
+@query(f"""WITH {LOG_SQL}, l AS (SELECT a, b, max(struct_pack(d := decided_at, k := decision)) AS s FROM log GROUP BY a, b), i AS (SELECT DISTINCT b AS x, a AS y FROM log UNION SELECT 1000, 2000)
+SELECT x AS a, y AS b, CASE s.k WHEN 'block' THEN 'dismissed' ELSE 'suggested' END AS status, CASE WHEN s.k != 'restore' THEN s.d END AS decided_at FROM i LEFT JOIN l ON l.a = y AND l.b = x""")
+def intro_decisions(spark, sf_dir):
+    log = log_of(spark, sf_dir)
+    pairs = log.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().unionByName(spark.sql("SELECT 1000L AS a, 2000L AS b"))
+    return decisions.intro_states(pairs, log).select("a", "b", "status", "decided_at")
