@@ -25,11 +25,22 @@ def foldings(form: str) -> tuple[dict[str, str], dict[str, str]]:
     return one, {c: to for c, to in many.items() if to}
 
 
+def char_class(chars) -> str:
+    """A pattern of the characters as ranges, which match much faster than a long list."""
+    ranges: list[list[int]] = []
+    for p in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == p - 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
 def _apply(c: Column, form: str) -> Column:
     one, many = foldings(form)
     table = F.create_map(*(F.lit(x) for kv in many.items() for x in kv))
     spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
-    held = F.when(c.rlike("[" + "".join(many) + "]"), spread).otherwise(c)
+    held = F.when(c.rlike(char_class(many)), spread).otherwise(c)
     return F.translate(held, "".join(one), "".join(one.values()))
 
 

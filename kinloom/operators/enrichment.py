@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fold import strip
+from ..functions.fold import let, strip
 from ..functions.normalize import match_text
 from ..functions.tables import CITABLE, ENUMS, LOW_CONFIDENCE, MAX_EVIDENCE, MAX_PHRASES, MIN_QUOTE
 
@@ -35,15 +35,19 @@ def source_text(record: str = "") -> Column:
 
 def verify_evidence(records: DataFrame, answers: DataFrame) -> DataFrame:
     """(person_id, total, verified, unverified, rate) of each answer's quotes against its record."""
-    rows = answers.select("person_id", "evidence").join(records.select(F.col("id").alias("person_id"), source_text().alias("texts")), "person_id", "left")
-    e = rows.select("person_id", "texts", F.explode_outer("evidence").alias("e"))
-    e = e.withColumn("source", F.element_at("texts", F.col("e.field"))).withColumn("quote", F.coalesce(strip(F.col("e.quote")), F.lit("")))
-    empty = F.coalesce(F.col("source") == "", F.lit(True))
-    why = F.when(empty, F.concat(F.lit("field '"), F.coalesce("e.field", F.lit("None")), F.lit("' is empty or unknown"))).when(F.length("quote") < MIN_QUOTE, "quote too short to be evidence").when(~match_text(F.col("source")).contains(match_text(F.col("quote"))), "quote does not appear in that field")
-    e = e.withColumn("why", why)
-    has = F.col("e").isNotNull()
-    bad = F.when(has & F.col("why").isNotNull(), F.struct("e.field", "e.quote", "e.supports", "why"))
-    out = e.groupBy("person_id").agg(F.count_if(has).alias("total"), F.count_if(has & F.col("why").isNull()).alias("verified"), F.collect_list(bad).alias("unverified"))
+    none = F.array().cast("array<struct<field:string,quote:string,supports:string>>")
+    rows = answers.select("person_id", F.coalesce("evidence", none).alias("evidence")).join(records.select(F.col("id").alias("person_id"), source_text().alias("texts")), "person_id", "left")
+
+    def check(e: Column, folded: Column) -> Column:
+        source, quote = F.element_at("texts", e["field"]), F.coalesce(strip(e["quote"]), F.lit(""))
+        why = F.when(F.coalesce(source == "", F.lit(True)), F.concat(F.lit("field '"), F.coalesce(e["field"], F.lit("None")), F.lit("' is empty or unknown"))).when(F.length(quote) < MIN_QUOTE, "quote too short to be evidence").when(~F.element_at(folded, e["field"]).contains(match_text(quote)), "quote does not appear in that field")
+        return F.struct(e["field"].alias("field"), e["quote"].alias("quote"), e["supports"].alias("supports"), why.alias("why"))
+
+    # each text is folded once, however many quotes cite it
+    checks = let(F.transform_values("texts", lambda _, t: match_text(t)), lambda folded: F.transform("evidence", lambda e: check(e, folded)))
+    checked = rows.select("person_id", checks.alias("checks"))
+    out = checked.select("person_id", F.size("checks").cast("long").alias("total"), F.filter("checks", lambda c: c["why"].isNotNull()).alias("unverified"))
+    out = out.select("person_id", "total", (F.col("total") - F.size("unverified")).alias("verified"), "unverified")
     return out.withColumn("rate", F.when(F.col("total") == 0, 1.0).otherwise(F.col("verified") / F.col("total")))
 
 
