@@ -138,7 +138,7 @@ def exact_match_pairs(spark, sf_dir):
     return cascade.scored(n, blocking.candidates(n))[0].select("a", "b", F.col("exact").alias("method"))
 
 
-@query(f"WITH RECURSIVE {O.SCORED} SELECT a, b, round(nm + 1e-9, 2) AS name_sim, round(comp + 1e-9, 2) AS company_sim, agrees AS title_agrees, veto AS title_vetoed, score FROM scored")
+@query(f"WITH RECURSIVE {O.SCORED} SELECT a, b, round(nm::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE AS name_sim, round(comp::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE AS company_sim, agrees AS title_agrees, veto AS title_vetoed, score FROM scored")
 def fuzzy_blend_veto(spark, sf_dir):
     n = norm(spark, sf_dir)
     rows = cascade.scored(n, blocking.candidates(n))[1]
@@ -300,7 +300,7 @@ def reviews_of(pairs: DataFrame) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {O.ROUTED}, r AS (SELECT *, {DECIDED} AS decision FROM routed)
 SELECT a, b, CASE decision WHEN 'keep_both' THEN 'rejected' WHEN 'merge' THEN 'auto_merged' WHEN 'not_sure' THEN 'pending' ELSE review_state END AS review_state, decision,
-  decision = 'keep_both' AND verdict = 'same_person' AND review_state = 'auto_merged' AS overruled FROM r""")
+  CASE WHEN decision IS NOT NULL THEN decision = 'keep_both' AND verdict = 'same_person' AND review_state = 'auto_merged' END AS overruled FROM r""")
 def keep_both_filter(spark, sf_dir):
     n = norm(spark, sf_dir)
     pairs = materialize(cascade.route(n, blocking.candidates(n)), "pairs")

@@ -127,7 +127,7 @@ SCORED = f"""{KEYS},
   blended AS (SELECT *, CASE WHEN comp IS NULL THEN least(nm, 91.0) ELSE 0.65 * nm + 0.35 * comp END + CASE WHEN agrees THEN 3.0 WHEN NOT agrees THEN -2.0 ELSE 0.0 END AS raw FROM lifted),
   capped AS (SELECT *, CASE WHEN comp IS NULL OR nm < 90 THEN least(raw, 91.0) ELSE raw END AS cap FROM blended),
   vetoed AS (SELECT *, coalesce(NOT agrees, false) AND cap >= 92 AS veto FROM capped),
-  scored AS (SELECT *, round(greatest(0.0, least(100.0, CASE WHEN veto THEN greatest(78.0, least(cap, 91.0)) ELSE cap END)) + 1e-9, 2) AS score FROM vetoed)"""
+  scored AS (SELECT *, round(greatest(0.0, least(100.0, CASE WHEN veto THEN greatest(78.0, least(cap, 91.0)) ELSE cap END))::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE AS score FROM vetoed)"""
 ROUTED = f"""{SCORED},
   routed AS (SELECT a, b, keys, 'deterministic' AS stage, exact AS method, 'same_person' AS verdict, 'auto_merged' AS review_state, 100.0::DOUBLE AS score FROM settled WHERE exact IS NOT NULL
     UNION ALL SELECT a, b, keys, 'fuzzy', CASE WHEN score >= 92 THEN 'fuzzy_auto' ELSE 'escalated_not_adjudicated' END, CASE WHEN score >= 92 THEN 'same_person' ELSE 'insufficient_evidence' END,
