@@ -5,6 +5,8 @@ Every stage works on all rows that its predecessor kept. The first four return t
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,21 @@ from kinloom.llm import langid, minhash, packing, quality, spans
 from kinloom.llm.common import materialize
 
 
+#: Rows that the pipeline's jobs hand to Python at once: texts travel with all columns, so fewer than Spark's default.
+ARROW_ROWS = 2000
+
+
+def bounded(stage):
+    """The stage, with this session's Arrow batches of ARROW_ROWS from then on; its result is written by the caller."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no learned language (no text or no letter); the rest get the predicted language."""
     found = langid.identify(docs, langid.learn(docs), carry=docs.columns).filter("lang_pred != 'und'")
@@ -52,7 +69,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", pack)]
+STAGES = [(name, bounded(stage)) for name, stage in (("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", pack))]
 
 #: The forest, the trees and the byte-level vocabulary have no SQL form.
 ORACLE_SQL = None
