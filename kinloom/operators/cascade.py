@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import blend, name_score, token_set_ratio, token_sort_ratio
-from ..functions.tables import ESCALATE_AT, MERGE_AT, NAME_LEAST
+from ..functions.tables import ESCALATE_AT, MERGE_AT
 
 SIDE = ["id", "full_name", "email", "linkedin_url", "company", "title", "location", "bio", "name", "mail", "slug", "company_key", "title_canonical"]
 
@@ -114,5 +114,3 @@ def explain_miss(truth: DataFrame, records: DataFrame, candidates: DataFrame) ->
     why = F.when(F.col("outcome").isNull() & shared, "never became a candidate: blocking bucket too large").when(F.col("outcome").isNull(), "never became a candidate: no shared blocking key").when(F.col("outcome") == "stage2_dropped", F.concat(F.lit("scored "), s.cast("string"), F.lit(" < ESCALATE_FLOOR"))).when(F.col("outcome") == "stage2_escalated", F.concat(F.lit("escalated at "), s.cast("string"), F.lit(", awaiting stage 3"))).otherwise(F.col("outcome"))
     return rows.select("a", "b", F.coalesce("outcome", F.lit("never_a_candidate")).alias("outcome"), why.alias("why"))
 
-
-NAME_STRONG = NAME_LEAST

@@ -586,7 +586,7 @@ def health_counts(spark, sf_dir):
     return reports.health(state_of(spark, sf_dir))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars / 100000.0 <= 1 THEN floor(n_chars / 100000.0 * 100 + 0.5)::BIGINT::VARCHAR ELSE floor(n_chars / 100000.0 + 0.5)::BIGINT::VARCHAR END AS score, CASE WHEN length(source) <= 4 THEN source ELSE source END AS source FROM documents")
+@query("SELECT doc_id, CASE WHEN n_chars / 100000.0 <= 1 THEN floor(n_chars / 100000.0 * 100 + 0.5)::BIGINT::VARCHAR ELSE floor(n_chars / 100000.0 + 0.5)::BIGINT::VARCHAR END AS score, source FROM documents")
 def display_score(spark, sf_dir):
     docs = tables(spark, sf_dir, "documents")["documents"]
     return docs.select("doc_id", text.score100(F.col("n_chars") / 100000.0).alias("score"), text.join_parts(F.col("source"), F.lit(" ")).alias("source"))
