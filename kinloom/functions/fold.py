@@ -36,9 +36,15 @@ def char_class(chars) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
+@functools.cache
+def literal_map(items: tuple[tuple[str, str], ...]) -> Column:
+    """A map of literals; built once, as every literal is a call into the JVM."""
+    return F.create_map(*(F.lit(x) for kv in items for x in kv))
+
+
 def _apply(c: Column, form: str) -> Column:
     one, many = foldings(form)
-    table = F.create_map(*(F.lit(x) for kv in many.items() for x in kv))
+    table = literal_map(tuple(many.items()))
     spread = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
     held = F.when(c.rlike(char_class(many)), spread).otherwise(c)
     return F.translate(held, "".join(one), "".join(one.values()))

@@ -7,12 +7,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fold import ascii_fold, blank_null, collapse, compat_fold, let, strip
+from .fold import ascii_fold, blank_null, collapse, compat_fold, let, literal_map, strip
 from .tables import CITY_COUNTRY, CITY_NAMES, DOTLESS_DOMAINS, HONORIFICS, LEGAL_FORMS, NAME_SUFFIXES, PERSONAL_DOMAINS, TITLE_ROLES, TITLE_WORDS
 
 
 def table(values: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+    return literal_map(tuple(values.items()))
 
 
 def email(c: Column) -> Column:
