@@ -30,7 +30,7 @@ from .common import drop_table, materialize, slices
 from .words import HASHES
 
 SENTENCES, MIN_WORDS, CUT, LONGEST = 3, 20, 6, 32
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
