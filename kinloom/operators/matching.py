@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import CAPACITY, COMPLETENESS_FLOOR, MIN_DIRECTION, MIN_SCORE, PRIMARY_WEIGHT, REASONS, RECIPROCITY_BONUS, RECIPROCITY_FLOOR, SECOND_WEIGHT, SIMILARITY_WEIGHT, STAGE_ORDER
 from .shared import drop_table, materialize
 
-BLOCK = 512
+BLOCK, LABEL_BLOCK = 512, 2048
 
 
 def unit(v: Column) -> Column:
@@ -98,6 +98,44 @@ def score_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select("i", "j", "id", "needs", "offers", "profile", "k").groupBy("i", "j").applyInArrow(compare, SCORED)
 
 
+def best_of_label(vectors: DataFrame, block: int = LABEL_BLOCK) -> DataFrame:
+    """(vec_id, sim, best) of every vector against all others of its label: the highest product, and the least id of those equal to it at nine digits.
+
+    vectors: vec_id, label, v (unit vector). Rows without a label, a vector or another id of their label have no match
+    and no row. The vectors of a label are dealt to block pairs, each of which answers both of its sides.
+    """
+    rows = vectors.filter("label IS NOT NULL AND v IS NOT NULL")
+    blocks = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "label").withColumn("k", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), F.col("vec_id").cast("long").alias("vec_id"), "v", "k")
+    kinds = [pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+
+    def side(ids, v, other, w):
+        """The best of other for each of ids, in parts of bounded size; other is in ascending order."""
+        parts = []
+        for a in range(0, len(ids), 512):
+            sim = v[a : a + 512] @ w.T
+            sim[ids[a : a + 512, None] == other[None]] = -np.inf
+            near = np.round(sim, 9)
+            at, one = near.argmax(1), np.arange(len(sim))
+            parts.append((ids[a : a + 512], sim.max(1), near[one, at], other[at]))
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+    def compare(key, table):
+        _, i, j = (x.as_py() for x in key)
+        table = table.sort_by("vec_id")
+        ids, k = table.column("vec_id").to_numpy(), table.column("k").to_numpy()
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        x, y = k == i, k == j
+        found = [side(ids[a], v[a], ids[b], v[b]) for a, b in ([(x, y)] if i == j else [(x, y), (y, x)]) if a.any() and b.any()]
+        out = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0)] * 4
+        real = out[1] > -np.inf
+        return pa.Table.from_arrays([pa.array(c[real], t, from_pandas=False) for c, t in zip(out, kinds, strict=True)], ["vec_id", "sim", "near", "best"])
+
+    found = dealt.groupBy("label", "i", "j").applyInArrow(compare, "vec_id long, sim double, near double, best long")
+    return found.groupBy("vec_id").agg(F.max("sim").alias("sim"), F.max_by("best", F.struct("near", -F.col("best"))).alias("best"))
+
+
 def keyed(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
 

@@ -460,9 +460,7 @@ def pair_score(spark, sf_dir):
 @query(f"WITH {UNITS_SQL} SELECT n.vec_id, max(list_dot_product(n.v, o.v)) >= 0.68 AS strong, arg_max(o.vec_id, (round(list_dot_product(n.v, o.v), 9), -o.vec_id)) AS best FROM u n JOIN u o ON o.label = n.label AND o.vec_id % 10 = 1 WHERE n.vec_id % 10 = 0 GROUP BY n.vec_id")
 def vec_best_match(spark, sf_dir):
     u = tables(spark, sf_dir, "embeddings")["embeddings"].select("vec_id", "label", matching.unit(F.col("embedding")).alias("v"))
-    need, offer = u.filter("vec_id % 10 = 0"), u.filter("vec_id % 10 = 1").select(F.col("vec_id").alias("o"), "label", F.col("v").alias("w"))
-    rows = need.join(offer, "label").select("vec_id", "o", matching.dot(F.col("v"), F.col("w")).alias("sim"))
-    return rows.groupBy("vec_id").agg((F.max("sim") >= 0.68).alias("strong"), F.max_by("o", F.struct(F.round("sim", 9), -F.col("o"))).alias("best"))
+    return matching.best_of_label(u).select("vec_id", (F.col("sim") >= 0.68).alias("strong"), "best")
 
 
 GREEDY_SQL = f"""{MATCH_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, edges AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS r FROM scored),
