@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fold import let, strip
 from ..functions.normalize import match_text
 from ..functions.tables import CITABLE, ENUMS, LOW_CONFIDENCE, MAX_EVIDENCE, MAX_PHRASES, MIN_QUOTE
+from .shared import materialize
 
 
 def valid() -> Column:
@@ -51,6 +54,30 @@ def verify_evidence(records: DataFrame, answers: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.when(F.col("total") == 0, 1.0).otherwise(F.col("verified") / F.col("total")))
 
 
+#: So many different quotes in one row of verify_shared, and so many at most that are broadcast.
+QUOTES, BROADCAST = 512, 100_000
+
+
+def verify_shared(records: DataFrame, evidence: DataFrame, block: int = QUOTES) -> DataFrame:
+    """(person_id, total, verified) of one list of quotes, (field, quote) rows, against every record, by the rules of verify_evidence.
+
+    Equal quotes are checked once and counted each. Each text is folded once and meets the quotes in blocks, which are
+    broadcast up to BROADCAST different quotes and else dealt as a product. Without quotes there are no rows.
+    """
+    quote = F.coalesce(strip("quote"), F.lit(""))
+    kinds = materialize(evidence.select("field", match_text(quote).alias("folded"), (F.length(quote) >= MIN_QUOTE).alias("long")).groupBy("field", "folded", "long").agg(F.count(F.lit(1)).alias("n")), "quotes")
+    different = kinds.count()
+    slot = F.pmod(F.xxhash64("folded"), F.lit(max(1, -(-different // block))))
+    quotes = kinds.groupBy(slot.alias("slot")).agg(F.collect_list(F.struct("field", "folded", "long", "n")).alias("quotes")).select("quotes")
+    if different <= BROADCAST:
+        quotes = F.broadcast(quotes)
+    texts = records.select(F.col("id").alias("person_id"), F.transform_values(source_text(), lambda _, t: F.when(t != "", match_text(t))).alias("texts"))
+    found = lambda q: q["long"] & reduce(lambda a, f: a | ((q["field"] == f) & F.coalesce(F.element_at("texts", F.lit(f)).contains(q["folded"]), F.lit(False))), CITABLE, F.lit(False))
+    count = lambda keep: F.aggregate("quotes", F.lit(0).cast("long"), lambda s, q: s + F.when(keep(q), q["n"]).otherwise(0))
+    rows = texts.crossJoin(quotes).select("person_id", count(lambda q: F.lit(True)).alias("total"), count(found).alias("verified"))
+    return rows.groupBy("person_id").agg(F.sum("total").alias("total"), F.sum("verified").alias("verified"))
+
+
 def complete(records: DataFrame, answers: DataFrame) -> DataFrame:
     """One row a record: its answer, or an explicit unknown with confidence 0; low_confidence below the threshold."""
     rows = records.select(F.col("id").alias("person_id")).join(answers, "person_id", "left")

@@ -356,9 +356,8 @@ def evidence_verify(spark, sf_dir):
     t = tables(spark, sf_dir, "documents", "benchmark")
     null = F.lit(None).cast("string")
     docs = t["documents"].select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.col("text").alias("bio"), *(null.alias(c) for c in ("full_name", "email", "linkedin_url", "company", "title", "location")), *(F.array().cast("array<string>").alias(c) for c in ("needs", "offers")))
-    quotes = t["benchmark"].groupBy((F.col("item_id") % 20).alias("slot")).agg(F.collect_list(F.struct(F.lit("bio").alias("field"), F.substring("text", 5, 40).alias("quote"), F.lit("persona").alias("supports"))).alias("evidence"))
-    answers = docs.join(F.broadcast(quotes), F.col("doc_id") % 20 == F.col("slot")).select(F.col("id").alias("person_id"), "evidence")
-    return enrichment.verify_evidence(docs, answers).select(F.col("person_id").cast("long").alias("doc_id"), "total", "verified")
+    quotes = t["benchmark"].select(F.lit("bio").alias("field"), F.col("text").alias("quote"))
+    return enrichment.verify_shared(docs, quotes).select(F.col("person_id").cast("long").alias("doc_id"), "total", "verified")
 
 
 APPLY_SQL = "SELECT CAST(o_orderkey AS STRING) AS person_id, CASE WHEN o_orderkey % 3 = 0 THEN 'We have 40 customers' WHEN o_orderkey % 3 = 1 THEN 'grew a lot' END AS building_now, CASE WHEN o_orderkey % 4 = 1 THEN 'mentoring' ELSE ' ' END AS contribution, CASE WHEN o_custkey % 5 = 0 THEN NULL WHEN o_custkey % 5 = 1 THEN 'nobody' ELSE CAST(o_custkey AS STRING) END AS referred_by, o_custkey FROM orders"

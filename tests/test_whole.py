@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.operators import matching
+from kinloom.operators import enrichment, matching
 from kinloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +19,27 @@ def test_best_match_is_of_all_vectors(spark, block):
     assert len(want) == 500 and sorted(got) == sorted(want)
     if block == matching.LABEL_BLOCK:
         assert sorted(map(tuple, catalog.QUERIES["vec_best_match"](spark, SF).select("vec_id", "strong", "best").collect())) == sorted(want)
+
+
+def test_every_document_meets_every_whole_quote(spark, tmp_path):
+    texts = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(7).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()
+    planted = [(d.doc_id, f"{d.text} {texts[i % 7].text.upper()}  {texts[(i + 3) % 7].text[:40]}") for i, d in enumerate(docs)]
+    spark.createDataFrame(planted, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = duckdb.sql(f"""WITH q AS (SELECT trim(text) AS quote, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS folded FROM '{tmp_path}/benchmark.parquet/*.parquet'), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS folded FROM '{tmp_path}/documents.parquet/*.parquet')
+      SELECT d.doc_id, count(*), sum(CASE WHEN length(q.quote) >= 4 AND contains(d.folded, q.folded) THEN 1 ELSE 0 END)::BIGINT FROM d JOIN q ON true GROUP BY d.doc_id""").fetchall()
+    got = catalog.QUERIES["evidence_verify"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and all(v >= 1 for _, _, v in want)
+
+
+def test_shared_quotes_are_checked_as_single_ones(spark):
+    null = F.lit(None).cast("string")
+    rows = spark.createDataFrame([("a", "Café  owner in Rome", ["funds"]), ("b", None, []), ("c", "rome", None)], "id string, bio string, needs array<string>")
+    rows = rows.select("id", "bio", "needs", *(null.alias(c) for c in ("full_name", "email", "linkedin_url", "company", "title", "location")), F.array().cast("array<string>").alias("offers"))
+    quotes = [("bio", "cafe owner"), ("bio", " Rome "), ("bio", "Rome"), ("bio", "in"), ("bio", None), ("needs", "funds"), ("nowhere", "Rome"), (None, "Rome")]
+    evidence = F.array(*(F.struct(F.lit(f).cast("string").alias("field"), F.lit(q).cast("string").alias("quote"), F.lit("persona").alias("supports")) for f, q in quotes))
+    want = enrichment.verify_evidence(rows, rows.select(F.col("id").alias("person_id"), evidence.alias("evidence"))).select("person_id", "total", "verified").collect()
+    for block in (1, enrichment.QUOTES):
+        got = enrichment.verify_shared(rows, spark.createDataFrame(quotes, "field string, quote string"), block).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
