@@ -1,5 +1,8 @@
 """Language-model scoring by masked pseudo-likelihood with a small bidirectional window network.
 
+The query runs on the subword network of window.py. What follows here is the smaller network over word classes, which
+doesn't tell rare words of one form apart and which no query uses.
+
 Words (runs of characters other than space and the ASCII controls 9 to 13) become one of CLASSES classes: the most
 frequent words of the whole corpus have one each, all others share 32 by form (symbols, digits, capitals, accents,
 punctuation, and length), and 0 stands before and after a text. The network predicts a word's class from the classes
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import window
+
 CLASSES, FORMS, HIDDEN, STEPS = 128, 32, 32, 120
 LONG, KNOWN, FLUSH = 64, 500_000, 400_000
 
@@ -187,4 +192,4 @@ def score(docs: DataFrame, model: tuple[list[bytes], np.ndarray], id_col: str =
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, learn(docs))
+    return window.score(docs)
