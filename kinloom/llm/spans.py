@@ -1,13 +1,17 @@
 """Substring deduplication by sliding sentence spans.
 
 A text's words are the runs of characters other than space and the ASCII controls 9 to 13. A sentence ends after a
-word that ends in a full stop, exclamation or question mark, at a line feed, and, as passages are also pasted in the
-middle of sentences, after any word whose hash is 0 modulo CUT: a cut that depends on the word alone falls at the same
-places wherever a passage stands (LONGEST words at most). Every run of consecutive sentences that has at least
+word that ends in a full stop, exclamation or question mark and, as passages are also pasted in the middle of sentences,
+after the word of least hash of any WINDOW consecutive ones: so none is longer than WINDOW words, and where it ends
+depends on fewer than WINDOW words around, wherever a passage stands and however its lines are broken. Every run of consecutive sentences that has at least
 SENTENCES of them and MIN_WORDS words, and no shorter one from the same start, is a span. Spans are hashed (64 bits of
 a polynomial over word hashes), brought together by hash, and of equal ones all but the first by (doc_id, place) are
 repeats; sentences that a repeat covers are removed from the text.
 
+Any 50 words in a row that two texts share hold a span of both. Ends from the 8th to the 43rd word are the same in
+both, the first of them is at most the 15th, and a span from there takes 27 words at most. What is left of a repeated
+passage is at its edges: fewer than 2 * WINDOW words on each side.
+
 Skew: each worker compares its own spans first, in blocks. A span that isn't the first of its block can't be the first
 of all, so it is a repeat without any exchange, and a key comes to the exchange once a block at most.
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize, slices
 from .words import HASHES
 
-SENTENCES, MIN_WORDS, CUT, LONGEST = 3, 20, 6, 32
+SENTENCES, MIN_WORDS, WINDOW = 3, 20, 8
 BLOCK = 1 << 18
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BASE = 0x9E3779B97F4A7C15
@@ -57,25 +61,16 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def sentences(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, word number after the end of each sentence) of a text."""
-    words: list[bytes] = []
-    breaks: list[int] = []
-    for line in data.split(b"\n"):
-        words += line.split()
-        breaks.append(len(words))
+    words = data.split()
     n = len(words)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, n)
-    end = h % np.uint64(CUT) == 0
-    end |= np.fromiter((w[-1] in b".!?" for w in words), bool, n)
-    b = np.array(breaks)
-    end[b[b > 0] - 1] = True
+    end = np.fromiter((w[-1] in b".!?" for w in words), bool, n)
+    near = np.lib.stride_tricks.sliding_window_view(h, min(n, WINDOW))
+    end[near.argmin(1) + np.arange(len(near))] = True
     end[-1] = True
     ends = np.flatnonzero(end) + 1
-    long = np.diff(ends, prepend=0)
-    if (long > LONGEST).any():
-        more = [np.arange(e - k + LONGEST, e, LONGEST) for e, k in zip(ends[long > LONGEST], long[long > LONGEST], strict=True)]
-        ends = np.unique(np.concatenate([ends, *more]))
     return h, ends
 
 
