@@ -29,6 +29,7 @@ from .common import slices
 SAMPLE = 20_000
 TREES, SUBSET = 200, 256
 KEEP_GOOD, OUTLIERS = 0.995, 2
+BINS = 1 << 16
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_lines", "n_upper", "n_letters", "n_digits", "n_marks", "n_caps_words"]
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -136,14 +137,16 @@ def grow(x: np.ndarray, seed: int = 7) -> Forest:
     return Forest(trees, max(expected_path(size), 1.0), 1.0)
 
 
-def calibrate(forest: Forest, good: np.ndarray, bad: np.ndarray, keep_good: float = KEEP_GOOD) -> Forest:
-    """Sets the threshold: scores above it are anomalous."""
-    g = np.sort(forest.score(good))
-    least = float(g[max(0, min(len(g) - 1 - OUTLIERS, math.ceil(keep_good * len(g)) - 1))])
-    if len(bad):
-        b = np.sort(forest.score(bad))
-        at = np.unique(np.concatenate([g[g >= least], [least]]))
-        gain = (len(b) - np.searchsorted(b, at, "right")) / len(b) - (len(g) - np.searchsorted(g, at, "right")) / len(g)
+def calibrate(forest: Forest, good: tuple[np.ndarray, np.ndarray], bad: tuple[np.ndarray, np.ndarray], keep_good: float = KEEP_GOOD) -> Forest:
+    """Sets the threshold from (scores in ascending order, how often each occurs): scores above it are anomalous."""
+    g, n = good
+    upto = np.cumsum(n)
+    total = int(upto[-1])
+    least = float(g[np.searchsorted(upto, max(0, min(total - 1 - OUTLIERS, math.ceil(keep_good * total) - 1)), "right")])
+    if len(bad[0]):
+        b = np.concatenate([[0], np.cumsum(bad[1])])
+        at = g[g >= least]
+        gain = 1 - b[np.searchsorted(bad[0], at, "right")] / b[-1] - (total - upto[g >= least]) / total
         least = float(at[int(np.argmax(gain))])
     forest.threshold = least
     return forest
@@ -154,9 +157,10 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> Forest:
-    """The forest from up to sample labelled documents, by order of a hash of their ids."""
+    """The forest grown from up to sample labelled documents, by order of a hash of their ids; its threshold comes from the scores of all, rounded up to 1 / BINS."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL")
-    picked = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(picked), "doc_id").select("quality", "text")
 
     def run(batches):
@@ -172,7 +176,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     x = features(counts)
     if not (good & ok).any():
         return Forest([], 1.0, 1.0)
-    return calibrate(grow(x[good & ok], seed), x[good & ok], x[~good & ok])
+    forest = grow(x[good & ok], seed)
+    scored = judge(docs, forest, id_col=id_col, text_col=text_col).filter("NOT base_failed").select("doc_id", F.ceil(F.col("anomaly") * BINS).alias("bin"))
+    bins = scored.join(known, "doc_id").groupBy((F.col("quality") == 1).alias("good"), "bin").agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
+    sides = [(np.array([r.bin / BINS for r in bins if r.good == side], float), np.array([r.n for r in bins if r.good == side], np.int64)) for side in (True, False)]
+    return calibrate(forest, *sides)
 
 
 def judge(docs: DataFrame, forest: Forest, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
