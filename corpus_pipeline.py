@@ -48,8 +48,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences; one row a piece."""
-    return packing.pack(docs)
+    """Packs what is left into sequences; one row a piece, with its token ids."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", pack)]
