@@ -10,7 +10,7 @@ repeats; sentences that a repeat covers are removed from the text.
 
 Any 50 words in a row that two texts share hold a span of both. Ends from the 8th to the 43rd word are the same in
 both, the first of them is at most the 15th, and a span from there takes 27 words at most. What is left of a repeated
-passage is at its edges: fewer than 2 * WINDOW words on each side.
+passage is at its edges: at most 15 words before and 21 after.
 
 Skew: each worker compares its own spans first, in blocks. A span that isn't the first of its block can't be the first
 of all, so it is a repeat without any exchange, and a key comes to the exchange once a block at most.
