@@ -6,11 +6,11 @@ import contextlib
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.shared import connected_components, drop_table, hot_join, materialize, scratch_path
 
-__all__ = ["arrow_rows", "connected_components", "drop_table", "hot_join", "materialize", "scratch_path", "slices"]
+__all__ = ["arrow_rows", "connected_components", "drop_table", "hot_join", "materialize", "passed", "scratch_path", "slices"]
 
 SLICE = 1 << 22
 
@@ -35,3 +35,20 @@ def arrow_rows(spark: SparkSession, most: int):
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def passed(docs: DataFrame, carry: list[str], added: list[str], text_col: str) -> tuple[DataFrame, list[str], int]:
+    """(rows, names, place of the text) for an Arrow function that hands columns on and adds some.
+
+    Of the columns in carry, those whose name (in any case) is an added one's are left out: the added one replaces them.
+    The text is among the rows once, as the last column unless it is handed on.
+    """
+    own = {c.lower() for c in added}
+    names = [c for c in dict.fromkeys(carry) if c.lower() not in own]
+    cols = [docs[f"`{c}`"] for c in names]
+    if text_col in names:
+        return docs.select(*cols), names, names.index(text_col)
+    free = "__text"
+    while free in names:
+        free += "_"
+    return docs.select(*cols, docs[f"`{text_col}`"].alias(free)), names, len(names)
