@@ -8,12 +8,17 @@ exact code length of a text is a sum of look-ups. The shortest code wins; the sc
 code lengths.
 
 Texts are read as UTF-8 with A-Z lower-cased and all other ASCII characters but letters and the apostrophe as one
-symbol. The trees are fitted on a bounded sample of distinct labelled texts (PER_LANGUAGE of up to MOST_BYTES each, by
-order of a hash of the text, alike at every size); every text is scored whole.
-
-Defined cases. A null text, or one without a letter, is "und" with score 0. A null id is allowed (and not held out). If
-no row has a language, everything is "und". Ties go to the language that sorts first. An empty table gives no rows.
-Other columns are not read; columns named in carry go through unless their names clash, which is an error.
+symbol. The trees are fitted on a bounded sample of distinct labelled texts, alike at every size: by order of a hash of
+the text, up to PER_LANGUAGE a language, and over all languages TEXTS texts and BYTES bytes, of which each has an equal
+share. The table is bounded by TABLE bytes (and holds a node for each symbol in any case): of the contexts of two and
+three symbols that occur, the most frequent have nodes, and the others are charged as the next shorter one. Every text
+is scored whole.
+
+Defined cases. A null text, or one without a letter (a character of Unicode category L), is "und" with score 0. A null
+id is allowed (and not held out). If no row has a language, everything is "und". Ties go to the language that sorts
+first. A text that occurs in several rows of one language is learned once; repeated rows, and rows that share an id, are
+predicted one by one. Very long texts are scored in parts whose code lengths add up. An empty table gives no rows.
+Other columns are not read; those named in carry go through, but for lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,15 +29,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T  # noqa: N812
 
-from .common import slices
+from .common import drop_table, materialize, passed, slices
 
 ORDER = 3
-PER_LANGUAGE = 512
-MOST_BYTES = 1 << 20
+PER_LANGUAGE, TEXTS, BYTES = 512, 1 << 14, 1 << 24
+TABLE = 48 << 20
 SALTS = 64
 CHUNK = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of Unicode category L."""
+    return bool(text) and (ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def symbols(data: bytes) -> np.ndarray:
@@ -84,8 +95,8 @@ class Model:
         np.add.at(out, [i for i, _ in held], sums)
 
 
-def fit(samples: dict[str, list[str]]) -> Model:
-    """Trees of each language from its texts."""
+def fit(samples: dict[str, list[str]], room: int = TABLE) -> Model:
+    """Trees of each language from its texts, compiled into a table of up to room bytes."""
     langs = sorted(samples)
     coded = {x: [symbols(t.encode("utf-8", "replace")) for t in samples[x]] for x in langs}
     seen = np.zeros(256, bool)
@@ -104,43 +115,61 @@ def fit(samples: dict[str, list[str]]) -> Model:
         parts = [np.concatenate([np.zeros(ORDER, np.int64), index[p].astype(np.int64)]) for p in coded[x]]
         codes = [((p[:-3] * size + p[1:-2]) * size + p[2:-1]) * size + p[3:] for p in parts if len(p) > ORDER]
         grams[x] = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_counts=True)
-    deep = np.unique(np.concatenate([g // size for g, _ in grams.values()])) if langs else np.empty(0, np.int64)
-    # nodes: every pair of symbols (order 2, from 0), then the order 3 contexts that some language has
-    nodes = np.tile(np.arange(size * size, dtype=np.int32), size)
-    nodes[deep] = size * size + np.arange(len(deep), dtype=np.int32)
-    cost = np.empty(((size * size + len(deep)) * size, len(langs)), np.float32)
-    for k, x in enumerate(langs):
+    # the contexts of two and three symbols by frequency, shorter ones first, so that a context's shorter one has a node too
+    every = np.concatenate([g // size for g, _ in grams.values()]) if langs else np.empty(0, np.int64)
+    times = np.concatenate([n for _, n in grams.values()]) if langs else np.empty(0, np.int64)
+    found = []
+    for order in (2, 3):
+        codes, which = np.unique(every % size**order, return_inverse=True)
+        found.append(np.stack([np.full(len(codes), order), codes, np.bincount(which, times, len(codes)).astype(np.int64)]))
+    order, codes, n = np.concatenate(found, 1)
+    most = max(0, room // (4 * size * max(1, len(langs))) - size)
+    best = np.lexsort((codes, order, -n))[:most]
+    two, three = (np.sort(codes[best][order[best] == k]) for k in (2, 3))
+    nodes = np.tile(np.arange(size, dtype=np.int32), size)
+    nodes[two] = size + np.arange(len(two), dtype=np.int32)
+    nodes = np.tile(nodes, size)
+    nodes[three] = size + len(two) + np.arange(len(three), dtype=np.int32)
+
+    def charged(gram: np.ndarray, count: np.ndarray, kept: np.ndarray, k: int, lower: np.ndarray) -> np.ndarray:
+        """Probabilities of all symbols in the kept contexts of k symbols, by those of the next shorter ones."""
+        context = gram % size ** (k + 1) // size
+        at = np.minimum(np.searchsorted(kept, context), max(len(kept) - 1, 0))
+        here = kept[at] == context if len(kept) else np.zeros(len(gram), bool)
+        table = np.bincount(at[here] * size + gram[here] % size, count[here], len(kept) * size).reshape(-1, size)
+        total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
+        spread = np.maximum(total + distinct, 1)
+        q = np.where(total == 0, lower, np.where(table > 0, table / spread, distinct / spread * lower))
+        return np.where(distinct == size, table / np.maximum(total, 1), q)
+
+    cost = np.empty(((size + len(two) + len(three)) * size, len(langs)), np.float32)
+    for i, x in enumerate(langs):
         gram, count = grams[x]
-        p = np.full((1, size), 1 / size)
-        for order in range(ORDER + 1):
-            if order < ORDER:
-                table = np.bincount(gram % size ** (order + 1), weights=count, minlength=size ** (order + 1)).reshape(-1, size)
-                lower = p[np.arange(len(table)) % len(p)]
-            else:
-                table = np.zeros((len(deep), size))
-                np.add.at(table, (np.searchsorted(deep, gram // size), gram % size), count)
-                lower = p[deep % len(p)]
-            total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            spread = np.maximum(total + distinct, 1)
-            q = np.where(total == 0, lower, np.where(table > 0, table / spread, distinct / spread * lower))
-            q = np.where(distinct == size, table / np.maximum(total, 1), q)
-            p, below = q, p
-        cost[: size * size * size, k] = -np.log2(below).ravel()
-        cost[size * size * size :, k] = -np.log2(p).ravel()
+        p0 = charged(gram, count, np.zeros(1, np.int64), 0, np.full((1, size), 1 / size))
+        p1 = charged(gram, count, np.arange(size), 1, np.repeat(p0, size, 0))
+        p2 = charged(gram, count, two, 2, p1[two % size])
+        p3 = charged(gram, count, three, 3, p2[np.searchsorted(two, three % size**2)])
+        cost[:, i] = -np.log2(np.concatenate([p1, p2, p3])).ravel()
     return Model(langs, index, size, nodes, cost)
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """Up to per_language distinct texts of each language, of those that aren't held out, by order of a hash."""
+    """Distinct texts of each language, of those that aren't held out, by order of a hash; bounds as the module says."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
-    known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out("doc_id")).filter(F.octet_length("text") <= MOST_BYTES)
-    texts = known.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(~held_out("doc_id")).filter(F.octet_length("text") <= BYTES).withColumn("h", F.xxhash64("text"))
+    texts = known.groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).alias("size"))
     rank = Window.partitionBy("lang", "salt").orderBy("h")
     least = texts.withColumn("salt", F.pmod("h", F.lit(SALTS))).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= max(1, per_language // SALTS))
-    picked = known.withColumn("h", F.xxhash64("text")).join(F.broadcast(least.select("lang", "h", "doc_id")), ["lang", "h", "doc_id"], "left_semi").select("lang", "text").distinct()
+    least = materialize(least.select("lang", "h", "doc_id", "size"), "texts")
+    n = max(1, least.select("lang").distinct().count())
+    upto = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    fits = least.filter(F.col("size") <= BYTES // n).select("*", F.sum("size").over(upto).alias("upto"), F.count(F.lit(1)).over(upto).alias("place"))
+    fits = fits.filter((F.col("upto") <= BYTES // n) & (F.col("place") <= max(1, TEXTS // n))).select("lang", "h", "doc_id")
+    picked = known.join(F.broadcast(fits), ["lang", "h", "doc_id"], "left_semi").select("lang", "text").distinct()
     out: dict[str, list[str]] = {}
     for r in sorted(picked.collect()):
         out.setdefault(r.lang, []).append(r.text)
+    drop_table(least)
     return out
 
 
@@ -155,28 +184,25 @@ def learn(docs: DataFrame, **names) -> Model:
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score; with carry: those columns of docs and lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = carry or ["doc_id", "held_out"]
-    if {"lang_pred", "score"} & set(kept) or len(set(kept)) < len(kept):
-        raise ValueError("clashing names")
-    text = docs[text_col].alias("__text")
-    df = docs.select(*(docs[c] for c in carry), text) if carry else docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", lang_pred string, score double"
-
-    last = len(df.columns) - 1
+    if carry is None:
+        docs = docs.select(docs[id_col].cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), docs[text_col].alias("text"))
+        carry, text_col = ["doc_id", "held_out"], "text"
+    df, kept, at = passed(docs, carry, ["lang_pred", "score"], text_col)
+    schema = T.StructType([*df.schema.fields[: len(kept)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         m = shared.value
-        for batch in slices(batches, last):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            at = [i for i, t in enumerate(texts) if t and m.langs and LETTER.search(t)]
+        for batch in slices(batches, at):
+            texts = batch.column(at).to_pylist()
+            real = [i for i, t in enumerate(texts) if m.langs and has_letter(t)]
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            if at:
-                bits = m.lengths([texts[i] for i in at])
+            if real:
+                bits = m.lengths([texts[i] for i in real])
                 best = bits.argmin(1)
                 share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
-                for i, b, s in zip(at, best, share, strict=True):
+                for i, b, s in zip(real, best, share, strict=True):
                     pred[i], score[i] = m.langs[b], s
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
     return df.mapInArrow(run, schema)
 
