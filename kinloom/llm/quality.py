@@ -10,8 +10,10 @@ least KEEP_GOOD of the good ones, OUTLIERS (rows labelled wrongly) not counted.
 
 Defined cases. A null or empty text has zero counts and fails the base rules. Without labelled good rows there is no
 forest and the base rules alone decide; without bad ones the threshold is the KEEP_GOOD quantile of the good. Labels
-that are null don't count, a document labelled twice is good if its highest label is. An empty table gives no rows.
-Columns named in carry go through unless their names clash, which is an error.
+that are null don't count, a document labelled twice is good if its highest label is. Repeated rows, and rows that share
+an id, are judged one by one; of labelled ones that share an id, the least counts are the forest's sample, and all set
+the threshold. A score equal to the threshold is kept. Very long texts are counted whole. An empty table gives no rows.
+Columns named in carry go through, but for those of the result's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T  # noqa: N812
 
-from .common import slices
+from .common import passed, slices
 
 SAMPLE = 20_000
 TREES, SUBSET = 200, 256
@@ -45,7 +48,8 @@ def repeat_words(ids: np.ndarray) -> int:
     if len(ids) < 4:
         return 0
     wide = int(ids.max()) + 1
-    keys = (ids[:-2] * wide + ids[1:-1]) * wide + ids[2:]
+    pairs = np.unique(ids[:-2] * wide + ids[1:-1], return_inverse=True)[1] if wide > 1 << 21 else ids[:-2] * wide + ids[1:-1]
+    keys = pairs * wide + ids[2:]
     order = np.argsort(keys, kind="stable")
     same = np.diff(keys[order]) == 0
     if not same.any():
@@ -161,14 +165,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].alias("quality")).filter("doc_id IS NOT NULL AND quality IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(picked), "doc_id").select("quality", "text")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", F.col("quality").cast("long").alias("quality"), "text")
 
     def run(batches):
         for batch in batches:
-            table = [rule_counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(table, pa.list_(pa.int64()))], ["quality", "counts"])
+            table = [rule_counts(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(table, pa.list_(pa.int64()))], ["doc_id", "quality", "counts"])
 
-    found = rows.select(F.col("quality").cast("long").alias("quality"), "text").mapInArrow(run, "quality long, counts array<long>").collect()
+    counted = rows.mapInArrow(run, "doc_id long, quality long, counts array<long>")
+    found = counted.groupBy("doc_id", "quality").agg(F.min("counts").alias("counts")).collect()  # up to sample rows, however often an id occurs
     counts = np.array([r.counts for r in found], np.int64).reshape(-1, len(COUNTS) + len(MORE))
     order = np.lexsort(counts.T)
     counts, good = counts[order], np.array([r.quality == 1 for r in found], bool)[order]
@@ -184,26 +189,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
 
 
 def judge(docs: DataFrame, forest: Forest, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id (or the columns in carry), COUNTS, base_failed, anomaly and kept of every document."""
+    """doc_id (or the columns in carry), COUNTS, base_failed, kept and anomaly of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
-    kept = carry or ["doc_id"]
-    names = [*kept, *COUNTS, "base_failed", "anomaly", "kept"]
-    if len(set(names)) < len(names):
-        raise ValueError("clashing names")
-    df = docs.select(*(docs[c] for c in carry) if carry else [docs[id_col].cast("long").alias("doc_id")], docs[text_col].alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]), *(f"{c} long" for c in COUNTS), "base_failed boolean", "anomaly double", "kept boolean"])
-
-    last = len(df.columns) - 1
+    if carry is None:
+        docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+        carry, text_col = ["doc_id"], "text"
+    added = [*COUNTS, "base_failed", "kept", "anomaly"]
+    df, kept, at = passed(docs, carry, added, text_col)
+    kinds = [*[T.LongType()] * len(COUNTS), T.BooleanType(), T.BooleanType(), T.DoubleType()]
+    schema = T.StructType([*df.schema.fields[: len(kept)], *(T.StructField(c, k) for c, k in zip(added, kinds, strict=True))])
 
     def run(batches):
         f = shared.value
-        for batch in slices(batches, last):
+        for batch in slices(batches, at):
             if not batch.num_rows:
                 continue
-            texts = batch.column(batch.num_columns - 1)
-            counts = np.array([rule_counts(t.as_py()) for t in texts], np.int64)
+            counts = np.array([rule_counts(t.as_py()) for t in batch.column(at)], np.int64)
             failed, score = base_failed(counts), f.score(features(counts))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(score), pa.array(~failed & (score <= f.threshold))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(~failed & (score <= f.threshold)), pa.array(score)], [*kept, *added])
 
     return df.mapInArrow(run, schema)
 
