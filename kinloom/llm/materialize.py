@@ -7,12 +7,16 @@
    0..n-1 with cycle walking. Shard k holds slots k*SHARD..(k+1)*SHARD-1.
 3. Sequences go to their shard's partition, bundled and compressed, and each task writes one shard: slot s starts at
    byte (s mod SHARD) * stride of shard-(s div SHARD).bin. A file is written under another name and renamed, so a lost
-   task is simply run again and a reader never sees half a shard. meta.json has all a reader needs.
+   task is simply run again and a reader never sees half a shard.
+4. The same job writes the manifest, one row a sequence, as a table beside the shards. meta.json, which has all a reader
+   needs, comes last: where it is, all shards and the manifest are whole, and without it nothing is to be read. write()
+   does all this before it returns the manifest, so reading the result in part or again writes nothing.
 
 Ids are little-endian unsigned 16-bit (32-bit for vocabularies of more than 65,536 ids).
 
 Defined cases. A null or empty text is its end id alone; null ids are kept as nulls; repeated rows are written one by
-one; a text of any length is encoded whole; an empty table gives no shard and no rows. Other columns are not read.
+one; a text of any length is encoded whole; an empty table gives no shard and no rows. Writing under a root that holds
+a finished corpus is an error. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import tokens
-from .common import materialize, scratch_path
+from .common import drop_table, materialize, scratch_path
 from .feistel import permute_array
 
 LENGTH, SHARD = 1024, 16_384
@@ -80,8 +84,11 @@ def sequences(docs: DataFrame, vocab: str, length: int = LENGTH, end: int = END)
 
 
 def write(docs: DataFrame, root: str, vocab: str | None = None, length: int = LENGTH, shard: int = SHARD, seed: int = 20240101, end: int = END) -> DataFrame:
-    """Writes the shards under root (a URI that all workers reach) as the result is computed; one row a sequence."""
+    """Writes shards, manifest and meta.json under root (a URI that all workers reach); the manifest, one row a sequence."""
     spark = docs.sparkSession
+    fs, path = pa.fs.FileSystem.from_uri(root)
+    if fs.get_file_info(f"{path}/meta.json").type != pa.fs.FileType.NotFound:
+        raise FileExistsError(f"{root} holds a finished corpus")
     vocab = vocab or tokens.default_vocab()
     kind = width_of(vocab)
     blocks = materialize(sequences(docs, vocab, length, end), "sequences")
@@ -90,11 +97,8 @@ def write(docs: DataFrame, root: str, vocab: str | None = None, length: int = LE
     for part in sorted(counts):
         offsets[part] = n
         n += counts[part]
-    fs, path = pa.fs.FileSystem.from_uri(root)
     fs.create_dir(path, recursive=True)
     meta = {"sequences": n, "length": length, "shard": shard, "dtype": kind, "seed": seed, "end": end, "shards": -(-n // shard)}
-    with fs.open_output_stream(f"{path}/meta.json") as f:
-        f.write(json.dumps(meta).encode())
     shared = spark.sparkContext.broadcast(offsets)
     kinds = [pa.int32(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int32()), pa.binary()]
     names = ["shard", "slots", "docs", "sizes", "data"]
@@ -132,7 +136,13 @@ def write(docs: DataFrame, root: str, vocab: str | None = None, length: int = LE
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.string()], strict=True)], ["slot", "shard", "position", "doc_ids", "n_tokens", "ids_crc32", "file"])
 
     dealt = blocks.mapInArrow(deal, "shard int, slots binary, docs array<array<long>>, sizes array<int>, data binary")
-    return dealt.repartitionById(max(1, meta["shards"]), "shard").mapInArrow(save, SCHEMA)
+    manifest = f"{root}/manifest"
+    dealt.repartitionById(max(1, meta["shards"]), "shard").mapInArrow(save, SCHEMA).write.mode("overwrite").parquet(manifest)
+    drop_table(blocks)
+    with fs.open_output_stream(f"{path}/.meta.json") as f:
+        f.write(json.dumps(meta).encode())
+    fs.move(f"{path}/.meta.json", f"{path}/meta.json")
+    return spark.read.schema(SCHEMA).parquet(manifest)
 
 
 def read(root: str, start: int = 0, stop: int | None = None):
