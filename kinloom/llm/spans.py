@@ -13,12 +13,16 @@ both, the first of them is at most the 15th, and a span from there takes 27 word
 passage is at its edges: at most 15 words before and 21 after.
 
 Skew: each worker compares its own spans first, in blocks. A span that isn't the first of its block can't be the first
-of all, so it is a repeat without any exchange, and a key comes to the exchange once a block at most.
-
-Defined cases. A null text stays null and an empty one empty. Rows with a null id are left as they are and count for
-nothing. Rows that share an id count as one document: their equal spans at equal places aren't repeats of each other,
-and a removal applies only where the row's own words carry the span's hash. Texts too short for a span never change.
-An empty table gives no rows. Texts are read whole. Input columns that clash with the added ones are an error.
+of all, so it is a repeat without any exchange, and a key comes to the exchange once a block at most. Keys that hold
+more than 1/HOT of the rows even so, as a sample of about SAMPLE rows tells, get their first by a pre-aggregated minimum
+that is broadcast (HOT rows at most); whether a key is found hot changes the way, not the result. Documents meet the
+spans to remove by id, hot ids apart (hot_join).
+
+Defined cases. A null text stays null and an empty one empty. Rows with a null id are left as they are, never leave
+their partition and count for nothing. Rows that share an id count as one document: their equal spans at equal places
+aren't repeats of each other, and a removal applies only where the row's own words carry the span's hash. Texts too
+short for a span never change. Of equal spans that start at one place of one id all are first. An empty table gives no
+rows. Texts are read whole, however long. Columns in carry of an added one's name, or the text's, are replaced.
 """
 
 from __future__ import annotations
@@ -29,12 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T  # noqa: N812
 
-from .common import drop_table, materialize, slices
+from .common import drop_table, hot_join, materialize, passed, slices
 from .words import HASHES
 
 SENTENCES, MIN_WORDS, WINDOW = 3, 20, 8
 BLOCK = 1 << 18
+HOT, SAMPLE = 1024, 1 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -94,6 +100,7 @@ def all_spans(docs: DataFrame, count: int = SENTENCES, min_words: int = MIN_WORD
     def block(parts: list[tuple]) -> pa.RecordBatch:
         doc, i, j, h = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((i, doc, h))
+        order = order[np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(doc[order]) != 0) | (np.diff(i[order]) != 0)])]
         doc, i, j, h = doc[order], i[order], j[order], h[order]
         new = np.concatenate([[True], (h[1:] != h[:-1])])
         lead = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -118,12 +125,31 @@ def all_spans(docs: DataFrame, count: int = SENTENCES, min_words: int = MIN_WORD
     return rows.mapInArrow(run, "h long, doc_id long, start int, stop int, again boolean")
 
 
+def hot_spans(spans_: DataFrame) -> list[int]:
+    """The hashes that hold more than 1/HOT of a sample of the rows; fewer than HOT."""
+    total = spans_.count()
+    if not total:
+        return []
+    part = spans_.sample(min(1.0, SAMPLE / total), seed=11) if total > SAMPLE else spans_
+    least = max(2, min(total, SAMPLE) / HOT)
+    return [r.h for r in part.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).select("h").collect()]
+
+
 def repeats(docs: DataFrame, count: int = SENTENCES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, stop, h) of every span that isn't the first of its kind."""
+    """(doc_id, removed) with the spans (start, stop, h) of a document that aren't the first of their kind; as a table."""
     found = materialize(all_spans(docs, count, min_words, id_col, text_col), "spans")
+    alone = found.filter("NOT again").select("doc_id", "start", "stop", "h")
+    hot = hot_spans(alone)
     place = F.rank().over(Window.partitionBy("h").orderBy("doc_id", "start"))
-    across = found.filter("NOT again").select("doc_id", "start", "stop", "h", place.alias("rank")).filter("rank > 1").drop("rank")
-    out = materialize(across.unionByName(found.filter("again").select("doc_id", "start", "stop", "h")), "repeats")
+    cold = alone.filter(~F.col("h").isin(hot)) if hot else alone
+    late = cold.withColumn("rank", place).filter("rank > 1").drop("rank")
+    if hot:
+        warm = alone.filter(F.col("h").isin(hot))
+        first = warm.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+        late = late.unionByName(warm.join(F.broadcast(first), "h").filter(F.struct("doc_id", "start") != F.col("first")).drop("first"))
+    every = late.unionByName(found.filter("again").select("doc_id", "start", "stop", "h"))
+    lists = every.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop", "h")).alias("removed"))
+    out = materialize(lists, "repeats")
     drop_table(found)
     return out
 
@@ -154,20 +180,22 @@ def cleaned(text: str, removed: list[dict], count: int, min_words: int) -> tuple
 
 def dedup(docs: DataFrame, carry: list[str], count: int = SENTENCES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns in carry, the text without repeats, and ADDED."""
-    names = [*carry, text_col, *ADDED]
-    if len(set(names)) < len(names):
-        raise ValueError("clashing names")
-    lists = repeats(docs, count, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "stop", "h")).alias("__removed"))
-    df = docs.select(*(docs[c] for c in carry), docs[text_col].alias("__text"), docs[id_col].cast("long").alias("__id")).join(lists, "__id", "left").select(*carry, "__text", "__removed")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-2]), f"`{text_col}` string", *(f"{c} long" for c in ADDED)])
-
-    last = len(df.columns) - 2
+    lists = repeats(docs, count, min_words, id_col, text_col)
+    df, kept, _ = passed(docs, [c for c in carry if c.lower() != text_col.lower()], ADDED, text_col)
+    own = docs.select(F.struct(*(docs[f"`{c}`"] for c in kept)).alias("row") if kept else F.lit(None).alias("row"), docs[text_col].alias("text"), docs[id_col].cast("long").alias("doc_id"))
+    known = hot_join(own.filter("doc_id IS NOT NULL"), lists, ["doc_id"], "left").select("row", "text", "removed")
+    rows = known.unionByName(own.filter("doc_id IS NULL").select("row", "text", F.lit(None).cast(lists.schema["removed"].dataType).alias("removed")))
+    free = df.columns[-1] + "_"
+    while free in kept:
+        free += "_"
+    rows = rows.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("text").alias(df.columns[-1]), F.col("removed").alias(free))
+    schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField(text_col, T.StringType()), *(T.StructField(c, T.LongType()) for c in ADDED)])
+    names, at = schema.names, len(kept)
 
     def run(batches):
-        for batch in slices(batches, last):
-            k = batch.num_columns
+        for batch in slices(batches, at):
             texts, stats = [], []
-            for text, removed in zip(batch.column(k - 2), batch.column(k - 1), strict=True):
+            for text, removed in zip(batch.column(at), batch.column(at + 1), strict=True):
                 t, r = text.as_py(), removed.as_py()
                 if t and r:
                     t, *s = cleaned(t, r, count, min_words)
@@ -176,9 +204,9 @@ def dedup(docs: DataFrame, carry: list[str], count: int = SENTENCES, min_words:
                 texts.append(t)
                 stats.append(s)
             cols = zip(*stats, strict=True) if stats else [[], [], []]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names)
 
-    return df.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
