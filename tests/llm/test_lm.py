@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.llm import lm, tokens, window
+from kinloom.llm import lm, tokens
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "naïve 日本 text"), (5, "naïve 日本 text"), (None, "b c")]
@@ -19,30 +19,30 @@ def test_op5_scores_rare_words(spark, tmp_path):
     assert out[3].n_tokens == len(tokens.encode(text, tokens.default_vocab()))
 
 
-def test_window_network_learns_and_is_normalized(spark):
-    ids = window.encoded(spark.read.parquet(f"{SF}/documents.parquet")).cache()
+def test_network_learns_and_is_normalized(spark):
+    ids = lm.encoded(spark.read.parquet(f"{SF}/documents.parquet")).cache()
     texts = [r.ids for r in ids.collect()]
-    code, n = np.unique(window.triples(texts)[0], return_counts=True)
-    counts = window.counts_of(ids)
+    code, n = np.unique(lm.triples(texts)[0], return_counts=True)
+    counts = lm.counts_of(ids)
     assert counts.sum() == n.sum() == sum(len(t) // 2 for t in texts)
     loss = lambda net: -(net.log_probs(code) * n).sum() / n.sum()
-    start, net = window.Network(counts), window.learn(ids)
+    start, net = lm.Network(counts), lm.learn(ids)
     assert loss(net) < loss(start) - 0.3
-    every = np.arange(window.VOCAB)
-    for left, right in ((window.END, 5), (262, 300)):
-        assert np.exp(net.log_probs((left * window.SIDE + every) * window.SIDE + right)).sum() == pytest.approx(1, abs=1e-3)
+    every = np.arange(lm.VOCAB)
+    for left, right in ((lm.END, 5), (262, 300)):
+        assert np.exp(net.log_probs((left * lm.SIDE + every) * lm.SIDE + right)).sum() == pytest.approx(1, abs=1e-3)
     first = np.frombuffer(texts[0], "<u2").astype(int)
-    around = [window.END, *first, window.END]
-    want = net.log_probs(np.array([(around[i] * window.SIDE + around[i + 1]) * window.SIDE + around[i + 2] for i in range(len(first))])).sum()
-    row = window.score_ids(ids, net).filter(F.col("doc_id") == ids.first().doc_id).first()
+    around = [lm.END, *first, lm.END]
+    want = net.log_probs(np.array([(around[i] * lm.SIDE + around[i + 1]) * lm.SIDE + around[i + 2] for i in range(len(first))])).sum()
+    row = lm.score_ids(ids, net).filter(F.col("doc_id") == ids.first().doc_id).first()
     assert row.sum_logprob == pytest.approx(want, rel=1e-4) and row.mean_logprob == pytest.approx(want / len(first), rel=1e-4)
     print("loss", loss(start), loss(net))
 
 
-def test_window_cases(spark):
+def test_cases(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
-    out = window.score(docs).collect()
+    out = lm.score(docs).collect()
     assert len(out) == len(ODD)
     assert all((r.mean_logprob is None) == (r.n_tokens == 0) and np.isfinite(r.sum_logprob) for r in out)
     assert [r.n_tokens for r in out if r.doc_id in (1, 2)] == [0, 0]
-    assert window.score(docs.filter("false")).isEmpty()
+    assert lm.score(docs.filter("false")).isEmpty()
