@@ -1,20 +1,28 @@
 """SentencePiece encoding and decoding by a lattice over bounded-length substrings.
 
-The stages are relational: (1) a text becomes words, the parts of it that no piece crosses; (2) each distinct word is
-exploded into its substrings of at most the longest piece's length; (3) these are joined to the piece table by equality
-(of two 64-bit hashes); (4) the edges found are grouped by word; (5) a fold over each word's edges picks its pieces.
-
-The fold depends on the model. viterbi_words() is for unigram models: columns and SQL functions throughout, with a
-higher-order aggregate for the fold. The model at hand is a BPE model, whose result is not the path of greatest score:
-its edges are taken one merge at a time, best score first, leftmost on ties. So encode() folds the same lattice by
-merges (equal to the library's ids, see the README for how often Viterbi's differ), and does all stages column-wise on
-the batch's new words, in numpy inside an Arrow function: no word or edge is ever shuffled, and memory is bounded by
-the batch and a cache of CACHE words.
+The stages are relational: (1) texts become words, the parts that no piece crosses, which are counted; (2) the words are
+exploded into their substrings of at most the longest piece's length; (3) these are joined to the piece table by
+equality; (4) the edges found are grouped by word; (5) a higher-order aggregate folds each word's edges into its pieces.
+The result is a dictionary from word to ids, which the texts' words are looked up in.
+
+The fold depends on the model. viterbi_words() takes the path of greatest score, for unigram models. The model at hand
+is a BPE model, whose result is not that path (see the README for how often they differ) but that of merging, as long
+as one is left, the best-scored two neighbours, leftmost on ties. spell() folds the same edges for it in one pass, by
+score and place: an edge is taken if it spans just two of the symbols so far. That is the same as merging one by one
+wherever every piece comes out of the pass on itself: a merge better than the last one would be of a piece whose own
+merges had all had their turn, so it would have been made. Pieces of which this doesn't hold are found when the model
+is read (Pieces.late), and words that contain one aren't folded so.
+
+The dictionary holds the most frequent words, DICTIONARY of them at most, so that it can be broadcast at any size of
+the input; a word of up to LONG characters that is more frequent than the bound admits is in it. All other words, rare
+ones, long ones and those with late pieces, are folded by merges over the same lattice where they occur, in numpy, each
+batch's new words at once (by a heap beyond LONG characters); memory is bounded by the batch and a cache of CACHE words.
 
 Defined cases. A null text has null ids and a null decoded text; an empty one has no ids. Characters without a piece
-become the byte pieces of their UTF-8. A text of any length is encoded whole, and a word of any length, by a heap
-beyond LOCKSTEP characters. Decoding gives the text back, but for U+2581, which the model cannot tell from a space.
-Repeated rows are encoded alike; an empty table gives no rows. Other columns are not read.
+become the byte pieces of their UTF-8. A text of any length is encoded whole, and so is a word. Words of equal counts
+are in the dictionary together or not at all. Decoding gives the text back, but for U+2581, which the model cannot tell
+from a space. Repeated rows, and rows that share an id, are encoded alike and one by one; an empty table gives no rows.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -30,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import drop_table, materialize, slices
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-LOCKSTEP, CHUNK, CACHE = 128, 20_000, 300_000
+LONG, CHUNK, CACHE = 128, 20_000, 300_000
+DICTIONARY, FLUSH = 1 << 18, 400_000
 NONE = np.int32(2**31 - 1)
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -62,7 +72,9 @@ class Pieces:
         self.rank, self.id = (np.array([v[k] for v in self.table.values()], np.int32)[order] for k in (0, 1))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.h1 >> np.uint64(44)).astype(np.int64)] = True
+        self.late = [x for x in self.table if one_pass(x, self) != [x]]
         self.texts = [b"" if i in set(special) else bytes([bytes_[i]]) if i in bytes_ else names[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.bytes = pa.array(self.texts, pa.large_binary())
 
 
 def piece_hash(p: str) -> tuple[int, int]:
@@ -72,6 +84,16 @@ def piece_hash(p: str) -> tuple[int, int]:
     return a, b
 
 
+def one_pass(word: str, p: Pieces) -> list[str]:
+    """The symbols after one pass over the word's edges by (rank, place)."""
+    n = len(word)
+    length = [1] * n
+    for _, b, k in sorted((p.table[word[b : b + k]][0], b, k) for b in range(n) for k in range(2, min(p.longest, n - b) + 1) if word[b : b + k] in p.table):
+        if 0 < length[b] < k and length[b + length[b]] == k - length[b]:
+            length[b + length[b]], length[b] = 0, k
+    return [word[i : i + k] for i, k in enumerate(length) if k]
+
+
 @functools.cache
 def pieces(model: str) -> Pieces:
     return Pieces(model)
@@ -152,8 +174,8 @@ def merge_heap(word: str, p: Pieces) -> list[str]:
 def word_ids(words: list[str], p: Pieces) -> list[bytes]:
     """The ids of each word, as little-endian 32-bit integers."""
     out: list[bytes] = [b""] * len(words)
-    short = [i for i, w in enumerate(words) if len(w) <= LOCKSTEP]
-    for i in (i for i, w in enumerate(words) if len(w) > LOCKSTEP):
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    for i in (i for i, w in enumerate(words) if len(w) > LONG):
         ids: list[int] = []
         for x in merge_heap(words[i], p):
             ids += [p.table[x][1]] if x in p.table else [p.byte_ids[b] for b in x.encode("utf-8", "replace")]
@@ -185,25 +207,128 @@ def split_words(text: str) -> list[str]:
     return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def decode_ids(ids, p: Pieces) -> str:
-    text = b"".join(map(p.texts.__getitem__, ids)).decode("utf-8", "replace")
-    return text[1:] if text[:1] == " " else text
+def decode_texts(ids: pa.ListArray, p: Pieces) -> list[bytes | None]:
+    """The UTF-8 of rows of ids."""
+    flat = p.bytes.take(ids.flatten())
+    ends = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1, flat.offset * 8) if len(flat) else np.zeros(1, np.int64)
+    data, out, at = (flat.buffers()[2] or b"") if len(flat) else b"", [], 0
+    view = memoryview(data)
+    for n in ids.value_lengths().to_pylist():
+        if n is None:
+            out.append(None)
+            continue
+        raw = bytes(view[ends[at] : ends[at + n]])
+        out.append(raw[1:] if raw[:1] == b" " else raw)
+        at += n
+    return out
 
 
 def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) over all texts, brought together on each worker first."""
+
+    def run(batches):
+        count: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+
+        for batch in slices(batches, 0):
+            for text in batch.column(0).to_pylist():
+                if text:
+                    count.update(split_words(text))
+            if len(count) > FLUSH:
+                yield out()
+                count = Counter()
+        if count:
+            yield out()
+
+    return docs.select(docs[text_col].alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
+    """The words of at least the least count at which they are no more than most."""
+    room, least = most, None
+    for r in counts.filter("n > 1").groupBy(bin_of("n").alias("bin")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("bin")).collect():
+        room -= r.words
+        if room < 0:
+            break
+        least = r.bin
+    return counts.filter(bin_of("n") >= least if least is not None else F.lit(False)).select("word")
+
+
+def bin_of(n: str):
+    """Counts to 16 a doubling, in order; so there are at most some thousand of them."""
+    return F.floor(F.log2(F.col(n)) * 16)
+
+
+def edges_of(words: DataFrame, table: DataFrame, longest: int, *values: str) -> DataFrame:
+    """(word, b, k, *values): the substrings of distinct words that are pieces, by first character (from 1) and length; those of one character all."""
+    w = words.select("word").filter("length(word) > 0").distinct()
+    spots = w.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("b"))
+    subs = spots.select("word", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("b") + 1))).alias("k"))
+    subs = subs.select("word", "b", "k", F.substr(F.col("word"), F.col("b"), F.col("k")).alias("piece"))
+    return subs.join(F.broadcast(table), "piece", "left").filter(F.col(values[0]).isNotNull() | (F.col("k") == 1)).select("word", "b", "k", *values)
+
+
+def spell(words: DataFrame, table: DataFrame, longest: int, byte_ids: list[int]) -> DataFrame:
+    """(word, ids) of each distinct word by merges, in one pass over its edges; table: (piece, rank, id)."""
+    edges = edges_of(words, table, longest, "rank", "id")
+    one = F.when(F.col("k") == 1, F.struct("b", F.coalesce("id", F.lit(-1)).alias("id")))
+    more = F.when(F.col("k") > 1, F.struct("rank", "b", "k", "id"))
+    grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(one)).alias("ones"), F.array_sort(F.collect_list(more)).alias("merges"))
+    symbol = lambda k, i: F.struct(k.alias("k"), i.alias("id"))
+
+    def step(state, e):
+        at = e["b"] - 1
+        first = F.get(state, at)["k"]
+        fits = (first > 0) & (first < e["k"]) & (F.get(state, at + first)["k"] == e["k"] - first)
+        merged = F.transform(state, lambda x, i: F.when(i == at, symbol(e["k"], e["id"])).when(i == at + first, symbol(F.lit(0), F.lit(-1))).otherwise(x))
+        return F.when(fits, merged).otherwise(state)
+
+    spelt = grouped.select("word", F.aggregate("merges", F.transform("ones", lambda x: symbol(F.lit(1), x["id"])), step).alias("symbols"))
+    own = F.array(*(F.lit(i) for i in byte_ids)) if byte_ids else F.array(F.lit(0))
+
+    def bytes_of(c):
+        return F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda j: F.element_at(own, F.conv(F.substr(F.hex(F.encode(c, "utf-8")), 2 * j - 1, F.lit(2)), 16, 10).cast("int") + 1))
+
+    nothing = F.array().cast("array<int>")
+    ids = F.transform("symbols", lambda x, i: F.when(x["k"] == 0, nothing).when(x["id"] >= 0, F.array(x["id"])).otherwise(bytes_of(F.substr(F.col("word"), i + 1, F.lit(1)))))
+    return spelt.select("word", F.flatten(ids).alias("ids"))
+
+
+def dictionary(docs: DataFrame, model: str | None = None, text_col: str = "text", most: int = DICTIONARY) -> DataFrame:
+    """(word, ids) of the most frequent words of all texts, most of them at most; as a table."""
+    spark = docs.sparkSession
+    p = pieces(model or default_model())
+    counts = materialize(word_counts(docs, text_col), "words")
+    plain = F.length("word") <= LONG
+    for x in p.late:
+        plain = plain & ~F.col("word").contains(x)
+    table = spark.createDataFrame([(x, rank, i) for x, (rank, i) in p.table.items()], "piece string, rank int, id int")
+    out = materialize(spell(frequent(counts, most).filter(plain), table, p.longest, p.byte_ids), "dictionary")
+    drop_table(counts)
+    return out
+
+
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and ids of every text."""
     model = model or default_model()
+    spelt = dictionary(docs, model, text_col)
+    found = spelt.toArrow()  # up to DICTIONARY words
+    drop_table(spelt)
+    shared = docs.sparkSession.sparkContext.broadcast((found.column("word").combine_chunks(), found.column("ids").combine_chunks().cast(pa.list_(pa.int32()))))
 
     def run(batches):
-        p, known = pieces(model), {}
+        p, base = pieces(model), lookup(shared)
+        known = dict(base)
         for batch in slices(batches, 1):
             texts = [None if t is None else split_words(t) for t in batch.column(1).to_pylist()]
-            if len(known) > CACHE:
-                known = {}
+            if len(known) > CACHE + len(base):
+                known = dict(base)
             new = list({w for ws in texts if ws for w in ws if w not in known})
             known.update(zip(new, word_ids(new, p), strict=True))
             data = [None if ws is None else b"".join(map(known.__getitem__, ws)) for ws in texts]
@@ -217,6 +342,20 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
+_looked_up: dict[str, dict] = {}
+
+
+def lookup(shared) -> dict[str, bytes]:
+    """A broadcast dictionary as word to ids (little-endian 32-bit integers); the last one stays with the worker."""
+    words, ids = shared.value
+    key = f"{len(words)}-{words.nbytes}-{ids.nbytes}-{zlib.crc32(words.buffers()[2] or b'')}-{zlib.crc32(ids.values.buffers()[1] or b'')}"
+    if key not in _looked_up:
+        _looked_up.clear()
+        data, at = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_numpy().tolist()
+        _looked_up[key] = {w: data[4 * a : 4 * b] for w, a, b in zip(words.to_pylist(), at, at[1:], strict=False)}
+    return _looked_up[key]
+
+
 def decode(coded: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids and text of encoded rows."""
     model = model or default_model()
@@ -224,7 +363,7 @@ def decode(coded: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches):
         p = pieces(model)
         for batch in batches:
-            texts = [None if x is None else decode_ids(x, p) for x in batch.column(2).to_pylist()]
+            texts = [None if x is None else x.decode("utf-8", "replace") for x in decode_texts(batch.column(2), p)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "text"])
 
     return coded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, text string")
@@ -235,11 +374,7 @@ def viterbi_words(words: DataFrame, table: DataFrame, longest: int, unknown: flo
 
     For unigram models. Characters without a piece cost `unknown`. Ties go to the longer last piece.
     """
-    w = words.select("word").filter("length(word) > 0").distinct()
-    spots = w.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("b"))
-    subs = spots.select("word", "b", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("b") + 1))).alias("k"))
-    subs = subs.select("word", "b", "k", F.substr(F.col("word"), F.col("b"), F.col("k")).alias("piece"))
-    edges = subs.join(F.broadcast(table), "piece", "left").withColumn("score", F.coalesce("score", F.when(F.col("k") == 1, F.lit(unknown)))).filter("score IS NOT NULL")
+    edges = edges_of(words, table, longest, "score").withColumn("score", F.coalesce("score", F.lit(unknown)))
     grouped = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct((F.col("b") + F.col("k") - 1).alias("e"), (-F.col("k")).alias("k"), "score"))).alias("edges"))
     # state: for every end so far the best score and the length of its last piece; edges come by end, longest first
     start = F.expr("array(named_struct('s', 0D, 'k', 0))")
@@ -263,11 +398,9 @@ def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     def digest(batches):
         p = pieces(model)
         for batch in batches:
-            crc, text = [], []
-            for x in batch.column(2):
-                ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
-                crc.append(None if ids is None else zlib.crc32(ids.astype("<u4").tobytes()))
-                text.append(None if ids is None else zlib.crc32(decode_ids(ids.tolist(), p).encode()))
+            ids = batch.column(2)
+            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)) if x.is_valid else None for x in ids]
+            text = [None if x is None else zlib.crc32(x.decode("utf-8", "replace").encode()) for x in decode_texts(ids, p)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crc, pa.int64()), pa.array(text, pa.int64())], ["doc_id", "n_tokens", "ids", "ids_crc32", "decoded_crc32"])
 
     return coded.mapInArrow(digest, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, decoded_crc32 long")

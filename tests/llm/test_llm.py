@@ -130,6 +130,35 @@ def test_pieces_are_the_librarys(spark):
     assert pieces.encode(empty(spark)).isEmpty()
 
 
+def test_the_fold_spells_words_like_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    p = pieces.pieces(pieces.default_model())
+    assert len(p.late) < 10
+    r = random.Random(9)
+    words = {w for x in spark.read.parquet(f"{SF}/documents.parquet").collect() for w in pieces.split_words(x.text)}
+    words |= {"".join(r.choice("abcdeinorst▁日é😀\x00") for _ in range(r.randrange(1, 20))) for _ in range(3000)}
+    words = sorted(w for w in words if not any(x in w for x in p.late))
+    table = spark.createDataFrame([(x, rank, i) for x, (rank, i) in p.table.items()], "piece string, rank int, id int")
+    got = {x.word: x.ids for x in pieces.spell(spark.createDataFrame([(w,) for w in [*words, words[0], ""]], "word string"), table, p.longest, p.byte_ids).collect()}
+    assert sorted(got) == words
+    mine = dict(zip(words, pieces.word_ids(words, p), strict=True))
+    assert all(np.array(got[w], "<i4").tobytes() == mine[w] for w in words)
+    whole = [w for w in words if w[0] == "▁" and "▁" not in w[1:]]
+    assert len(whole) > 1000 and all(sp.encode(w[1:]) == got[w] for w in whole if w != "▁")
+
+
+def test_dictionary_is_bounded(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    count = Counter(w for x in docs.collect() for w in pieces.split_words(x.text))
+    assert {x.word: x.n for x in pieces.word_counts(docs).collect()} == count
+    got = {x.word for x in pieces.dictionary(docs, most=300).collect()}
+    assert 200 < len(got) <= 300
+    assert min(count[w] for w in got) >= max(n for w, n in count.items() if w not in got)
+    assert pieces.dictionary(empty(spark)).isEmpty()
+
+
 def test_viterbi_against_all_paths(spark):
     table = {"a": -1.0, "b": -1.3, "ab": -1.9, "ba": -2.0, "aba": -2.7, "bb": -3.0}
 
