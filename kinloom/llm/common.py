@@ -15,11 +15,11 @@ __all__ = ["arrow_rows", "connected_components", "drop_table", "hot_join", "mate
 SLICE = 1 << 22
 
 
-def slices(batches, column: int):
-    """Arrow batches in parts of about SLICE bytes of a text column, for functions that make Python objects of them; a longer text is a part of its own."""
+def slices(batches, column: int, size: int = SLICE):
+    """Arrow batches in parts of about size bytes of a text column, for functions that make Python objects of them; a longer text is a part of its own."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        at = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE, prepend=0))
+        at = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // size, prepend=0))
         edges = [0, *(i for i in at.tolist() if i), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)

@@ -43,8 +43,8 @@ from .common import drop_table, materialize, slices
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-LONG, CHUNK, CACHE = 128, 20_000, 300_000
-DICTIONARY, FLUSH = 1 << 18, 400_000
+LONG, CHUNK, CACHE = 128, 10_000, 100_000
+DICTIONARY, FLUSH, SLICE = 1 << 17, 200_000, 1 << 20
 NONE = np.int32(2**31 - 1)
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -236,7 +236,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, SLICE):
             for text in batch.column(0).to_pylist():
                 if text:
                     count.update(split_words(text))
@@ -325,7 +325,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     def run(batches):
         p, base = pieces(model), lookup(shared)
         known = dict(base)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, SLICE):
             texts = [None if t is None else split_words(t) for t in batch.column(1).to_pylist()]
             if len(known) > CACHE + len(base):
                 known = dict(base)
