@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by a lattice over bounded-length substrings.
 
-The stages are relational: (1) texts become words, the parts that no piece crosses, which are counted; (2) the words are
-exploded into their substrings of at most the longest piece's length; (3) these are joined to the piece table by
+The stages are relational: (1) texts become words, the parts that no piece crosses, which are counted; (2) frequent
+ones are exploded into their substrings of at most the longest piece's length; (3) these are joined to the piece table by
 equality; (4) the edges found are grouped by word; (5) a higher-order aggregate folds each word's edges into its pieces.
 The result is a dictionary from word to ids, which the texts' words are looked up in.
 
@@ -14,8 +14,7 @@ merges had all had their turn, so it would have been made. Pieces of which this
 is read (Pieces.late), and words that contain one aren't folded so.
 
 The dictionary holds the most frequent words, DICTIONARY of them at most, so that it can be broadcast at any size of
-the input; a word of up to LONG characters that is more frequent than the bound admits is in it. All other words, rare
-ones, long ones and those with late pieces, are folded by merges over the same lattice where they occur, in numpy, each
+the input. Which words are in it changes the time that encoding takes, not its result. All other words, rare ones, long ones and those with late pieces, are folded by merges over the same lattice where they occur, in numpy, each
 batch's new words at once (by a heap beyond LONG characters); memory is bounded by the batch and a cache of CACHE words.
 
 Defined cases. A null text has null ids and a null decoded text; an empty one has no ids. Characters without a piece
@@ -30,8 +29,8 @@ from __future__ import annotations
 import functools
 import heapq
 import re
-from collections import Counter
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -43,7 +42,7 @@ from .common import drop_table, materialize, slices
 
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-LONG, CHUNK, CACHE = 128, 10_000, 100_000
+LONG, CHUNK, CACHE = 128, 10_000, 200_000
 DICTIONARY, FLUSH, SLICE = 1 << 17, 200_000, 1 << 20
 NONE = np.int32(2**31 - 1)
 B1, B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -72,16 +71,43 @@ class Pieces:
         self.rank, self.id = (np.array([v[k] for v in self.table.values()], np.int32)[order] for k in (0, 1))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.h1 >> np.uint64(44)).astype(np.int64)] = True
+        self.start = np.searchsorted(self.h1 >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
+        self.begins = self.maybe.copy()  # slots of the hashes of pieces' beginnings
+        self.begins[[piece_hash(x)[0] >> 44 for x in {x[:k] for x in self.table for k in range(1, len(x))}]] = True
         self.late = [x for x in self.table if one_pass(x, self) != [x]]
         self.texts = [b"" if i in set(special) else bytes([bytes_[i]]) if i in bytes_ else names[i].replace(SPACE, " ").encode() for i in range(n)]
         self.bytes = pa.array(self.texts, pa.large_binary())
 
 
 def piece_hash(p: str) -> tuple[int, int]:
-    a = b = 0
-    for c in p:
-        a, b = ((a + ord(c) + 1) * int(B1)) % (1 << 64), ((b + ord(c) + 1) * int(B2)) % (1 << 64)
-    return a, b
+    """Polynomials of the code points, modulo 2**64."""
+    return tuple(sum((ord(c) + 1) * pow(int(base), i, 1 << 64) for i, c in enumerate(p, 1)) % (1 << 64) for base in (B1, B2))
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; kept, in steps of a doubling."""
+    if len(_powers.get(base, ())) < n:
+        size = 1 << max(10, (n - 1).bit_length())
+        steps = np.full(size, base & (1 << 64) - 1, np.uint64)
+        steps[0] = 1
+        _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:n]
+
+
+def looked_up(p: Pieces, slot: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the hashes are pieces', their places in the table), by the table's runs of equal upper bits."""
+    found = np.full(len(h), -1, np.int32)
+    j, left = p.start[slot], np.arange(len(h))
+    while len(left):
+        same = p.h1[j] == h[left]
+        found[left[same]] = j[same]
+        on = ~same & (j + 1 < p.start[slot[left] + 1])
+        j, left = j[on] + 1, left[on]
+    which = np.flatnonzero(found >= 0)
+    return which, found[which]
 
 
 def one_pass(word: str, p: Pieces) -> list[str]:
@@ -106,17 +132,22 @@ def lattice(words: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray, np.nda
     stop = np.repeat(ends, np.diff(ends, prepend=0))
     n = len(chars)
     rank, ids = np.full((n, p.longest), NONE), np.full((n, p.longest), -1, np.int32)
+    sums, back = [], []
+    for base in (B1, B2):
+        sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum((chars + np.uint64(1)) * powers(int(base), n), dtype=np.uint64)]))
+        back.append(powers(pow(int(base), -1, 1 << 64), n) * base)
     at = np.arange(n)
-    h1 = h2 = np.zeros(n, np.uint64)
-    for k in range(p.longest):  # the substrings of length k + 1, joined to the pieces
-        keep = at + k < stop[at]
-        at, h1, h2 = at[keep], h1[keep], h2[keep]
-        c = chars[at + k] + np.uint64(1)
-        h1, h2 = (h1 + c) * B1, (h2 + c) * B2
-        hit = np.flatnonzero(p.maybe[(h1 >> np.uint64(44)).astype(np.int64)])
-        j = np.minimum(np.searchsorted(p.h1, h1[hit]), len(p.h1) - 1)
-        same = (p.h1[j] == h1[hit]) & (p.h2[j] == h2[hit])
-        rank[at[hit[same]], k], ids[at[hit[same]], k] = p.rank[j[same]], p.id[j[same]]
+    for k in range(p.longest):  # the substrings of length k + 1 that begin a piece, joined to the pieces
+        at = at[at + k < stop[at]]
+        h1 = (sums[0][at + k + 1] - sums[0][at]) * back[0][at]
+        slot = (h1 >> np.uint64(44)).view(np.int64)
+        alive = np.flatnonzero(p.begins[slot])
+        at, h1, slot = at[alive], h1[alive], slot[alive]
+        hit = np.flatnonzero(p.maybe[slot])
+        own, j = looked_up(p, slot[hit], h1[hit])
+        own = at[hit[own]]
+        same = (sums[1][own + k + 1] - sums[1][own]) * back[1][own] == p.h2[j]
+        rank[own[same], k], ids[own[same], k] = p.rank[j[same]], p.id[j[same]]
     return ends, stop, rank, ids
 
 
@@ -228,13 +259,18 @@ def default_model() -> str:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts, brought together on each worker first."""
+    """(word, n) over all texts, brought together on each worker first.
+
+    Words that occur but once among about FLUSH different ones are left out there: what is counted decides which words
+    have a place in the dictionary, so the time that encoding takes, and not its result.
+    """
 
     def run(batches):
         count: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+            often = {w: n for w, n in count.items() if n > 1}
+            return pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], ["word", "n"])
 
         for batch in slices(batches, 0, SLICE):
             for text in batch.column(0).to_pylist():
@@ -252,7 +288,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
     """The words of at least the least count at which they are no more than most."""
     room, least = most, None
-    for r in counts.filter("n > 1").groupBy(bin_of("n").alias("bin")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("bin")).collect():
+    for r in counts.groupBy(bin_of("n").alias("bin")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("bin")).collect():
         room -= r.words
         if room < 0:
             break
@@ -342,18 +378,18 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
-_looked_up: dict[str, dict] = {}
+_dictionaries: dict[str, dict] = {}
 
 
 def lookup(shared) -> dict[str, bytes]:
     """A broadcast dictionary as word to ids (little-endian 32-bit integers); the last one stays with the worker."""
     words, ids = shared.value
     key = f"{len(words)}-{words.nbytes}-{ids.nbytes}-{zlib.crc32(words.buffers()[2] or b'')}-{zlib.crc32(ids.values.buffers()[1] or b'')}"
-    if key not in _looked_up:
-        _looked_up.clear()
+    if key not in _dictionaries:
+        _dictionaries.clear()
         data, at = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_numpy().tolist()
-        _looked_up[key] = {w: data[4 * a : 4 * b] for w, a, b in zip(words.to_pylist(), at, at[1:], strict=False)}
-    return _looked_up[key]
+        _dictionaries[key] = {w: data[4 * a : 4 * b] for w, a, b in zip(words.to_pylist(), at, at[1:], strict=False)}
+    return _dictionaries[key]
 
 
 def decode(coded: DataFrame, model: str | None = None) -> DataFrame:
