@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 #: A join treats a key as hot when it holds more than one in so many rows; so there are at most so many hot keys.
 HOT_KEYS = 1024
+_made: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests), an own one."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, an own one on a local master (tests), else an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kinloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -33,16 +36,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files behind a table made by materialize()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        parent = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
+        _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all scratch tables of this session that are left, and says how many; for when its results are written."""
+    n = len(_made)
+    while _made:
+        _delete(spark, _made.pop())
+    return n
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:
+    """rows with their place (from 0) by the order columns, which must tell rows apart.
+
+    Rows are sorted by ranges, in as many tasks as there are; only the number of rows of each comes to the driver.
+    """
+    spark = rows.sparkSession
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    held = materialize(ranged, "numbered")
+    part = F.shiftright("__at", 33)
+    offsets, total = [], 0
+    for r in held.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("m")).orderBy("p").collect():
+        offsets.append((r.p, total))
+        total += r.m
+    starts = spark.createDataFrame(offsets, "__part long, __start long")
+    out = held.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return out.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__start", "__at")
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
