@@ -1,12 +1,14 @@
 """Introductions: best need-to-offer match in both directions, deterministic filters, and a capped greedy matching.
 
-All eligible pairs are compared, so they are dealt to block pairs: every person's vectors go to each block pair once,
-each block pair is one task of matrix products, and only pairs above the floors come out. Rejections are counted by
-reason without listing pairs.
+All eligible pairs are compared, so people are packed into blocks of BLOCK, a few matrices each, and the blocks are
+dealt to block pairs: each pair of blocks is a handful of matrix products, one for each place of a need and of an offer,
+and only pairs above the floors come out. Rejections are counted by reason without listing pairs.
 """
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,28 @@ from pyspark.sql import functions as F
 from ..functions.tables import CAPACITY, COMPLETENESS_FLOOR, MIN_DIRECTION, MIN_SCORE, PRIMARY_WEIGHT, REASONS, RECIPROCITY_BONUS, RECIPROCITY_FLOOR, SECOND_WEIGHT, SIMILARITY_WEIGHT, STAGE_ORDER
 from .shared import drop_table, materialize
 
-BLOCK, LABEL_BLOCK = 512, 2048
+BLOCK, LABEL_BLOCK = 1024, 2048
+
+
+class Embedder(Protocol):
+    def embed(self, texts: DataFrame) -> DataFrame:
+        """(text, vector) of every different text; nothing here loads a model or calls a network."""
+
+
+def phrases(records: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(id, kind, place, text) of all that is embedded: each need, each offer, and one profile (id, profile) a person."""
+    real = lambda c: F.filter(c, lambda x: x.isNotNull() & (F.trim(x) != ""))
+    parts = [records.select("id", F.lit(kind).alias("kind"), F.posexplode(real(c)).alias("place", "text")) for kind, c in (("need", "needs"), ("offer", "offers"))]
+    return parts[0].unionByName(parts[1]).unionByName(profiles.select("id", F.lit("profile").alias("kind"), F.lit(0).alias("place"), F.col("profile").alias("text")))
+
+
+def embed_people(records: DataFrame, profiles: DataFrame, embedder: Embedder) -> DataFrame:
+    """(id, needs, offers, profile) with unit vectors in the order of the phrases; equal texts are embedded once, people without needs or offers have empty lists."""
+    said = phrases(records, profiles)
+    known = embedder.embed(said.select("text").distinct()).select("text", unit(F.col("vector")).alias("v"))
+    rows = said.join(known, "text").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("kind", "place", "v"))).alias("all"))
+    of = lambda kind: F.transform(F.filter("all", lambda x: x["kind"] == kind), lambda x: x["v"])
+    return rows.select("id", of("need").alias("needs"), of("offer").alias("offers"), F.get(of("profile"), F.lit(0)).alias("profile"))
 
 
 def unit(v: Column) -> Column:
@@ -48,54 +71,99 @@ def competitors(a: str, b: str) -> Column:
     return F.coalesce(founders & sector & known(x + "company_stage") & known(y + "company_stage") & ((F.col(x + "company_stage") == F.col(y + "company_stage")) | near), F.lit(False))
 
 
-def best_match(needs: np.ndarray, offers: np.ndarray) -> tuple[float, int, int]:
-    if not len(needs) or not len(offers):
-        return 0.0, -1, -1
-    sim = needs @ offers.T
-    at = int(sim.argmax())
-    return float(sim.flat[at]), *divmod(at, sim.shape[1])
-
-
 SCORED = "a string, b string, score double, complementarity double, reverse_complementarity double, similarity double, reciprocal boolean, need_i int, offer_j int, reverse_i int, reverse_j int"
 
 
 def score_pairs(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     """SCORED rows of all pairs of people above both floors, a being the one whose need is answered best.
 
-    vectors: id, needs and offers (arrays of unit vectors), profile (unit vector).
+    vectors: id, needs and offers (arrays of unit vectors), profile (unit vector). Of equally good needs and offers (at
+    nine digits) the first need counts, and of those the first offer; of equally good directions that of the lesser id.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-vectors.count() // block))
     rows = vectors.select("id", "needs", "offers", "profile", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
-    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("i", F.least("k", "o")).withColumn("j", F.greatest("k", "o"))
+    packed = rows.groupBy("k").applyInArrow(pack, "k int, ids array<string>, dim int, needs binary, offers binary, profiles binary")
+    packed = materialize(packed, "blocks")
+    dealt = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")}).drop("o")
 
     def compare(key, table):
+        held = {r["k"]: r for r in table.to_pylist()}
         i, j = (x.as_py() for x in key)
-        people = table.to_pylist()
-        people.sort(key=lambda r: r["id"])
-        for r in people:
-            r["n"], r["f"] = (np.array(r[c] or [], float).reshape(len(r[c] or []), -1) for c in ("needs", "offers"))
-        out = []
-        for x, a in enumerate(people):
-            for b in people[x + 1 :]:
-                if i != j and a["k"] == b["k"]:
-                    continue
-                (fs, fi, fj), (bs, bi, bj) = best_match(a["n"], b["f"]), best_match(b["n"], a["f"])
-                first, second = max(fs, bs), min(fs, bs)
-                if first < MIN_DIRECTION:
-                    continue
-                sim = float(np.dot(a["profile"], b["profile"]))
-                both = second >= RECIPROCITY_FLOOR
-                score = round(PRIMARY_WEIGHT * first + SECOND_WEIGHT * second + SIMILARITY_WEIGHT * sim + (RECIPROCITY_BONUS if both else 0.0), 4)
-                if score < MIN_SCORE:
-                    continue
-                ids, at = ((a["id"], b["id"]), (fi, fj, bi, bj)) if fs >= bs else ((b["id"], a["id"]), (bi, bj, fi, fj))
-                out.append((*ids, score, round(first, 4), round(second, 4), round(sim, 4), both, *at))
-        kinds = [pa.string(), pa.string(), *[pa.float64()] * 4, pa.bool_(), *[pa.int32()] * 4]
-        cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
-
-    return dealt.select("i", "j", "id", "needs", "offers", "profile", "k").groupBy("i", "j").applyInArrow(compare, SCORED)
+        return score_blocks(Block(held[i]), Block(held[j])) if i in held and j in held else EMPTY
+
+    return dealt.select("i", "j", *packed.columns).groupBy("i", "j").applyInArrow(compare, SCORED)
+
+
+def pack(table: pa.Table) -> pa.Table:
+    """People of one block, by id, as matrices: a person's needs and offers padded with nan to the most that one has."""
+    table = table.sort_by("id")
+    ids, needs, offers, profiles = (table.column(c).to_pylist() for c in ("id", "needs", "offers", "profile"))
+    dim = max((len(v) for x in (needs, offers) for vs in x for v in vs or []), default=max((len(p or []) for p in profiles), default=0))
+
+    def padded(lists):
+        out = np.full((max((len(x or []) for x in lists), default=0), len(ids), dim), np.nan)
+        for at, vs in enumerate(lists):
+            for place, v in enumerate(vs or []):
+                out[place, at] = v
+        return out.tobytes()
+
+    flat = np.array([p if p is not None and len(p) == dim else [0.0] * dim for p in profiles], float)
+    cols = [pa.array([table.column("k")[0].as_py()], pa.int32()), pa.array([ids], pa.list_(pa.string())), pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in (padded(needs), padded(offers), flat.tobytes()))]
+    return pa.Table.from_arrays(cols, ["k", "ids", "dim", "needs", "offers", "profiles"])
+
+
+class Block:
+    """What pack() made of some people; needs and offers by (place, person)."""
+
+    def __init__(self, row: dict):
+        self.k, self.ids = row["k"], np.array(row["ids"], object)
+        shape = (-1, len(row["ids"]), row["dim"])
+        self.needs, self.offers = (np.frombuffer(row[c]).reshape(shape) if row[c] else np.empty((0, *shape[1:])) for c in ("needs", "offers"))
+        self.profiles = np.frombuffer(row["profiles"]).reshape(shape[1:])
+
+
+def answered(x: Block, y: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For everyone of x and of y: how well y's offers answer x's needs (0 where one has none), and the places of that need and offer."""
+    best = np.full((len(x.ids), len(y.ids)), -np.inf)
+    need, offer = np.full(best.shape, -1, np.int32), np.full(best.shape, -1, np.int32)
+    for a, n in enumerate(x.needs):
+        for b, f in enumerate(y.offers):
+            sim = np.round(np.nan_to_num(n) @ np.nan_to_num(f).T, 9)
+            sim[np.isnan(n[:, 0])] = -np.inf
+            sim[:, np.isnan(f[:, 0])] = -np.inf
+            more = sim > best
+            best[more], need[more], offer[more] = sim[more], a, b
+    best[np.isinf(best)] = 0.0
+    return best, need, offer
+
+
+def score_blocks(x: Block, y: Block) -> pa.Table:
+    """SCORED rows of the pairs of one of x with one of y."""
+    f, fi, fj = answered(x, y)
+    g, gi, gj = answered(y, x)
+    g, gi, gj = g.T, gi.T, gj.T
+    first, second = np.maximum(f, g), np.minimum(f, g)
+    ok = first >= MIN_DIRECTION
+    if x.k == y.k:
+        ok &= np.triu(np.ones(ok.shape, bool), 1)
+    p, q = np.nonzero(ok)
+    first, second = first[p, q], second[p, q]
+    sim = np.einsum("ij,ij->i", x.profiles[p], y.profiles[q])
+    both = second >= RECIPROCITY_FLOOR
+    score = np.round(PRIMARY_WEIGHT * first + SECOND_WEIGHT * second + SIMILARITY_WEIGHT * sim + RECIPROCITY_BONUS * both, 4)
+    good = score >= MIN_SCORE
+    p, q, first, second, sim, both, score = (c[good] for c in (p, q, first, second, sim, both, score))
+    ids_p, ids_q = x.ids[p], y.ids[q]
+    forward = (f[p, q] > g[p, q]) | ((f[p, q] == g[p, q]) & (ids_p < ids_q).astype(bool))
+    pick = lambda u, v: np.where(forward, u, v)
+    cols = [pick(ids_p, ids_q), pick(ids_q, ids_p), score, np.round(first, 4), np.round(second, 4), np.round(sim, 4), both]
+    cols += [pick(fi[p, q], gi[p, q]), pick(fj[p, q], gj[p, q]), pick(gi[p, q], fi[p, q]), pick(gj[p, q], fj[p, q])]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)], NAMES)
+
+
+KINDS = [pa.string(), pa.string(), *[pa.float64()] * 4, pa.bool_(), *[pa.int32()] * 4]
+NAMES = [c.split()[0] for c in SCORED.split(", ")]
+EMPTY = pa.Table.from_arrays([pa.array([], t) for t in KINDS], NAMES)
 
 
 def best_of_label(vectors: DataFrame, block: int = LABEL_BLOCK) -> DataFrame:
@@ -189,7 +257,8 @@ def greedy_match(scored: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     while not live.isEmpty():
         ends = live.select("a", "b", "score", F.col("a").alias("v"), F.col("room_a").alias("room")).unionByName(live.select("a", "b", "score", F.col("b").alias("v"), F.col("room_b").alias("room")))
         rank = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("score"), "a", "b"))
-        good = ends.withColumn("r", rank).filter("r <= room").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("a", "b")
+        # the constant bound first: it lets each task keep a person's best few edges before they are shuffled
+        good = ends.withColumn("r", rank).filter(F.col("r") <= capacity).filter("r <= room").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("a", "b")
         new = materialize(live.join(good, ["a", "b"], "left_semi"), "accepted")
         taken = new.select(columns) if taken is None else taken.unionByName(new.select(columns))
         used = new.select(F.col("a").alias("v")).unionByName(new.select(F.col("b").alias("v"))).groupBy("v").agg(F.count(F.lit(1)).alias("u"))
