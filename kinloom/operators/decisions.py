@@ -26,12 +26,18 @@ def latest_decisions(log: DataFrame) -> DataFrame:
 
 
 def apply_decisions(pairs: DataFrame, log: DataFrame) -> DataFrame:
-    """Recomputed pairs under the latest decisions: machine verdicts may change, decisions stay."""
+    """Recomputed pairs under the latest decisions: machine verdicts may change, decisions stay. Only keep_both changes a recomputed state."""
     d = latest_decisions(log).select("a", "b", "decision", "decided_at")
     rows = pairs.join(d, ["a", "b"], "left")
     over = (F.col("decision") == "keep_both") & (F.col("verdict") == "same_person") & (F.col("review_state") == "auto_merged")
     rows = rows.withColumn("reason", F.when(over, F.concat("reason", F.lit(" [overruled by an operator: keep_both]"))).otherwise(F.col("reason")))
-    return rows.withColumn("review_state", F.coalesce(_map(PAIR_STATES, "decision"), "review_state"))
+    return rows.withColumn("review_state", F.when(F.col("decision") == "keep_both", "rejected").otherwise(F.col("review_state")))
+
+
+def decide(pairs: DataFrame, log: DataFrame) -> DataFrame:
+    """The pairs as the latest decisions on them leave them at once: merge joins, keep_both rejects, not_sure reopens."""
+    d = latest_decisions(log).select("a", "b", "decision", "decided_at")
+    return pairs.join(d, ["a", "b"], "left").withColumn("review_state", F.coalesce(_map(PAIR_STATES, "decision"), "review_state"))
 
 
 def pointers(log: DataFrame) -> DataFrame:

@@ -100,3 +100,33 @@ def distribution(answers: DataFrame, top: int = 6) -> DataFrame:
     counts = answers.selectExpr(f"stack({len(ENUMS)}, {names}) AS (enum, value)").groupBy("enum", "value").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("enum").orderBy(F.desc("n"), "value"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= top)
+
+
+def store(current: DataFrame, new: DataFrame, replace: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the enrichment layer with valid new answers, answers set aside): in place of all earlier ones, or of those of the same people."""
+    from ..sources.layers import upsert
+
+    good, bad = validate(new)
+    return (good.select(current.columns) if replace else upsert(current, good, "person_id")), bad
+
+
+def funnel(records: DataFrame, answers: DataFrame) -> DataFrame:
+    """(metric, value) of a run: records, returned and missing answers, unknown and unsure ones, mean confidence over all records, and evidence."""
+    ids = records.select(F.col("id").alias("person_id"))
+    rows = ids.join(answers.select("person_id", "persona", "confidence", F.lit(True).alias("returned")), "person_id", "left")
+    got, c = F.coalesce("returned", F.lit(False)), F.coalesce("confidence", F.lit(0.0))
+    n = rows.agg(F.count(F.lit(1)).alias("records"), F.count_if(got).alias("returned"), F.count_if(~got).alias("missing"), F.count_if(got & (F.col("persona") == "unknown")).alias("unknown_persona"), F.count_if(got & (c < LOW_CONFIDENCE)).alias("low_confidence"), F.round(F.avg(c), 3).alias("mean_confidence"))
+    checks = verify_evidence(records, answers.join(ids, "person_id", "left_semi"))
+    total, good = F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("verified"), F.lit(0))
+    e = checks.agg(total.alias("evidence_total"), good.alias("evidence_verified"), F.count_if(F.col("verified") < F.col("total")).alias("records_with_bad_evidence"), F.round(F.when(total > 0, good / total).otherwise(1.0), 4).alias("evidence_rate"))
+    from .evaluate import as_metrics
+
+    return as_metrics(n).unionByName(as_metrics(e))
+
+
+def progress(people: DataFrame, answers: DataFrame, applications: DataFrame) -> DataFrame:
+    """One row: canonical people, those with a confident answer, applications, and applicants with a confident answer."""
+    sure = answers.filter("confidence > 0").select("person_id")
+    one = lambda df, name: int(df.agg(F.count(F.lit(1)).alias(name)).first()[0])
+    row = (one(people.filter("merged_into IS NULL"), "n"), one(sure, "n"), one(applications, "n"), one(sure.join(applications.select("person_id"), "person_id"), "n"))
+    return people.sparkSession.createDataFrame([row], "canonical long, enriched long, applicants long, applicants_enriched long")

@@ -81,6 +81,16 @@ def unsupported_numbers(text: Column) -> Column:
     return F.sort_array(F.array_except(numbers_in(text), allowed_numbers()))
 
 
+def score_rows(scores: DataFrame, prose: DataFrame, now: str) -> DataFrame:
+    """Rows to store: points by component, prose (person_id, explanation, bullets) and the numbers in it that the score doesn't support."""
+    none = F.array().cast("array<string>")
+    rows = scores.join(prose.select("person_id", "explanation", "bullets"), "person_id", "left")
+    rows = rows.withColumns({"explanation": F.coalesce("explanation", F.lit("")), "bullets": F.coalesce("bullets", none)})
+    points = [F.col("components")[i]["points"].alias(n) for i, n in enumerate(COMPONENTS)]  # the rubric's order
+    said = F.concat(F.col("explanation"), F.lit(" "), F.array_join("bullets", " "))
+    return rows.select("person_id", *points, "total", "band", F.to_json("components").alias("signals"), "explanation", "bullets", F.col("kind").alias("explanation_kind"), unsupported_numbers(said).alias("unsupported_numbers"), F.lit(now).alias("created_at"))
+
+
 def summarise(scores: DataFrame) -> DataFrame:
     """Applicants by band, those explained and those declined; explanation may be missing as a column."""
     e = F.col("explanation") if "explanation" in scores.columns else F.lit("")

@@ -92,3 +92,16 @@ def merge_pointers(plans: DataFrame) -> DataFrame:
     """(id, merged_into) of the records that a merged cluster hides behind its canonical one."""
     rows = plans.filter("status = 'merged'").select("canonical_id", F.explode("source_ids").alias("id"))
     return rows.filter("id != canonical_id").select("id", F.col("canonical_id").alias("merged_into"))
+
+
+def merge_state(plans: DataFrame, history: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """(groups, pointers) after a run: its plans as active groups, reverted ones of earlier runs kept as they are, and who is merged into whom."""
+    fresh = plans.withColumns({"created_at": F.lit(now), "reverted_at": F.lit(None).cast("string")})
+    old = history.filter("reverted_at IS NOT NULL")
+    return fresh.unionByName(old.select(fresh.columns)), merge_pointers(plans)
+
+
+def group_counts(groups: DataFrame) -> DataFrame:
+    """One row: groups merged, waiting for review, and reverted."""
+    state = {"merged": "merged", "pending": "pending_review", "reverted": "reverted"}
+    return groups.agg(*(F.count_if(F.col("status") == v).alias(k) for k, v in state.items()))

@@ -11,6 +11,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.shared import numbered
+
 
 class Port(Protocol):
     def answer(self, questions: DataFrame) -> DataFrame:
@@ -44,9 +46,6 @@ def usage(asked: DataFrame, batch: int, budget: int = 300) -> DataFrame:
 
 
 def batches(questions: DataFrame, size: int) -> DataFrame:
-    """(batch, payloads) of the questions in order of key."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy("key")) - 1
-    rows = questions.withColumn("n", n).withColumn("batch", F.floor(F.col("n") / size))
+    """(batch, payloads) of the questions in order of key; keys differ."""
+    rows = numbered(questions, ["key"]).withColumn("batch", F.expr(f"n div {size}"))
     return rows.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "payload"))), lambda x: x["payload"]).alias("payloads"))

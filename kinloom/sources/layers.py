@@ -64,6 +64,17 @@ def write_layer(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """A report as JSON, an object a line."""
+    df.write.mode("overwrite").json(path)
+
+
+def embedding_rows(vectors: DataFrame, model: str, now: str) -> DataFrame:
+    """Rows of the embedding layer: the profile vector of each person (id, profile) as 32-bit floats, its size and its model."""
+    v = F.col("profile").cast("array<float>")
+    return vectors.select(F.col("id").alias("person_id"), F.lit("profile").alias("kind"), v.alias("vector"), F.size(v).alias("dim"), F.lit(model).alias("model"), F.lit(now).alias("created_at"))
+
+
 def rewrite_keeping(current: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
     """Rows decided by a person as they are, and recomputed ones of all other keys."""
     return current.join(decided.select(*keys), keys, "left_anti").select(decided.columns).unionByName(decided)
@@ -82,14 +93,15 @@ def last_run(runs: DataFrame, stage: str) -> DataFrame:
     return latest(runs.filter(F.col("stage") == stage).withColumn("notes", F.to_json("notes")), ["stage"], ["id"])
 
 
-def read_answers(spark: SparkSession, directory: str) -> DataFrame:
-    """A folder of cached answers, one JSON file each, with the time of the file."""
-    raw = spark.read.schema(ANSWERS).option("multiLine", True).option("recursiveFileLookup", True).json(directory)
+def read_answers(spark: SparkSession, directory: str, lines: bool = False) -> DataFrame:
+    """Cached answers with the time of their file: a folder of JSON files of one answer each, or (lines) what write_answers() wrote."""
+    raw = spark.read.schema(ANSWERS).option("multiLine", not lines).option("recursiveFileLookup", True).json(directory)
     return raw.withColumn("modified", F.col("_metadata.file_modification_time"))
 
 
 def write_answers(answers: DataFrame, directory: str) -> None:
-    answers.select(*(x.split()[0] for x in ANSWERS.split(", "))).write.mode("append").partitionBy("task").parquet(directory)
+    """Appends answers as JSON, one a line."""
+    answers.select(*(x.split()[0] for x in ANSWERS.split(", "))).write.mode("append").json(directory)
 
 
 def answer_stats(answers: DataFrame) -> DataFrame:
