@@ -6,6 +6,7 @@ Entity queries run on the people view (see people.py). Arrays come out as joined
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..functions import similarity, text
 from ..functions.tables import INITIAL_SCORE, REASONS
 from ..operators import blocking, cascade, decisions, enrichment, evaluate, matching, rubric, survivorship
 from ..operators.records import describe_gaps, histogram, normalize_records
-from ..operators.shared import connected_components, materialize
+from ..operators.shared import connected_components, materialize, numbered
 from ..sources import answers, layers
 from . import oracle as O  # noqa: N812
 from . import reports
@@ -93,10 +94,9 @@ def json_list_parse(spark, sf_dir):
     return norm(spark, sf_dir).select("id", joined("needs").alias("needs"), joined("offers").alias("offers"), F.size("offers").cast("long").alias("n_offers"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS folded FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$')")
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '\\s+', ' ', 'g'))) AS folded FROM documents")
 def fold_match_text(spark, sf_dir):
-    docs = tables(spark, sf_dir, "documents")["documents"].filter(r"text RLIKE '^[\\x00-\\x7F]*$'")
-    return docs.select("doc_id", F.md5(N.match_text(F.col("text"))).alias("folded"))
+    return tables(spark, sf_dir, "documents")["documents"].select("doc_id", F.md5(N.match_text(F.col("text"))).alias("folded"))
 
 
 # --- completeness ----------------------------------------------------------------------------------------------------
@@ -132,6 +132,20 @@ def block_skipped(spark, sf_dir):
     return blocking.skipped(norm(spark, sf_dir))
 
 
+SMALL_CAP = 10
+
+
+@query(f"WITH {O.KEYS} SELECT key, size FROM sizes WHERE size > {SMALL_CAP}")
+def block_skipped_small(spark, sf_dir):
+    """With a cap that buckets of the smallest tables exceed too."""
+    return blocking.skipped(norm(spark, sf_dir), SMALL_CAP)
+
+
+@query(f"WITH {O.KEYS.replace(f'size <= {O.MAX_BUCKET} GROUP', f'size <= {SMALL_CAP} GROUP')} SELECT a, b, array_to_string(keys, '|') AS keys FROM cand")
+def block_pairs_small(spark, sf_dir):
+    return blocking.candidates(norm(spark, sf_dir), SMALL_CAP).select("a", "b", joined("keys").alias("keys"))
+
+
 @query(f"WITH {O.KEYS}, {O.SIDES} SELECT a, b, exact AS method FROM settled WHERE exact IS NOT NULL")
 def exact_match_pairs(spark, sf_dir):
     n = norm(spark, sf_dir)
@@ -217,7 +231,7 @@ def cluster_sizes(spark, sf_dir):
     return survivorship.clusters(pairs.select("a", "b")).groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
 
 
-PLAN_SQL = f"""WITH RECURSIVE {O.CLUSTERED}, m AS (SELECT member.cluster, norm.*, coalesce(created_at, '') AS d FROM member JOIN norm USING (id)),
+PLANS_SQL = """m AS (SELECT member.cluster, norm.*, coalesce(created_at, '') AS d FROM member JOIN norm USING (id)),
   stages AS (SELECT x.cluster, list(DISTINCT stage) AS s FROM routed JOIN member x ON x.id = a JOIN member y ON y.id = b AND y.cluster = x.cluster GROUP BY 1),
   g AS (SELECT cluster, arg_min(id, (-score, coalesce(nullif(created_at, ''), '9999'), id)) AS canonical_id, array_to_string(list_sort(list(id)), '|') AS source_ids,
     arg_max(linkedin_url, (d, id)) FILTER (linkedin_url != '') AS linkedin_url, arg_max(title, (d, id)) FILTER (title != '') AS title, arg_max(location, (d, id)) FILTER (location != '') AS location, arg_max(source, (d, id)) FILTER (source != '') AS source,
@@ -230,6 +244,7 @@ PLAN_SQL = f"""WITH RECURSIVE {O.CLUSTERED}, m AS (SELECT member.cluster, norm.*
   plan AS (SELECT *, len(works) > 1 AS c1, len(privates) > 1 AS c2, len(ckeys) > 1 AND NOT list_bool_and(list_transform(ckeys, lambda k: k = longest OR (length(k) >= 3 AND starts_with(longest, k)))) AS c3,
     CASE WHEN s = ['deterministic'] THEN 'stage1_exact' WHEN list_contains(s, 'fuzzy') THEN 'stage2_fuzzy' ELSE 'mixed' END AS decided_by FROM h JOIN stages USING (cluster))
 """
+PLAN_SQL = f"WITH RECURSIVE {O.CLUSTERED}, {PLANS_SQL}"
 
 
 def plans_of(spark, sf_dir) -> DataFrame:
@@ -249,9 +264,64 @@ def conflict_flags(spark, sf_dir):
     return plans_of(spark, sf_dir).select("cluster", F.explode("conflicts").alias("c")).select("cluster", F.concat(F.col("c.field"), F.lit(":"), F.array_join("c.values", "|")).alias("conflict"))
 
 
-@query(f"""{PLAN_SQL}, f AS (SELECT cluster, unnest(flatten(nl)) AS v FROM plan) SELECT cluster, array_to_string(list_sort(list(DISTINCT v)), '|') AS needs FROM f GROUP BY cluster""")
+UNION_SQL = """f AS (SELECT cluster, unnest(flatten(nl)) AS v, generate_subscripts(flatten(nl), 1) AS i FROM plan), o AS (SELECT cluster, v, min(i) AS i FROM f GROUP BY 1, 2)
+SELECT cluster, string_agg(v, '|' ORDER BY i) AS needs FROM o GROUP BY cluster"""
+
+
+@query(f"{PLAN_SQL}, {UNION_SQL}")
 def survivor_union(spark, sf_dir):
-    return plans_of(spark, sf_dir).select("cluster", F.array_join(F.array_sort("resolved.needs"), "|").alias("needs")).filter("needs != ''")
+    return plans_of(spark, sf_dir).select("cluster", F.array_join("resolved.needs", "|").alias("needs")).filter("needs != ''")
+
+
+# clusters of four different people by a rule on the id: values of all kinds disagree in them
+WIDE = 4
+WIDE_SQL = f"""WITH {O.NORM}, member AS (SELECT id, 'w-' || (CAST(substr(id, 3) AS BIGINT) // {WIDE})::VARCHAR AS cluster FROM norm), routed AS (SELECT x.id AS a, y.id AS b, CASE WHEN CAST(substr(y.id, 3) AS BIGINT) % 8 = 1 THEN 'fuzzy' ELSE 'deterministic' END AS stage
+  FROM norm x JOIN norm y ON CAST(substr(y.id, 3) AS BIGINT) = CAST(substr(x.id, 3) AS BIGINT) + 1), {PLANS_SQL}, f0 AS (SELECT cluster, count(*) AS n FROM member GROUP BY 1 HAVING count(*) > 1)"""
+
+
+def wide_plans(spark, sf_dir) -> DataFrame:
+    n = norm(spark, sf_dir)
+    k = n.select("id", F.col("id").substr(3, 8).cast("long").alias("k"))
+    pairs = k.select(F.col("id").alias("a"), (F.col("k") + 1).alias("k")).join(k.withColumnRenamed("id", "b"), "k").select("a", "b", F.when(F.col("k") % 8 == 1, "fuzzy").otherwise("deterministic").alias("stage"))
+    members = n.join(k.select("id", F.concat(F.lit("w-"), F.expr(f"k div {WIDE}").cast("string")).alias("cluster")), "id")
+    return survivorship.merge_plans(members, pairs)
+
+
+@query(f"""{WIDE_SQL} SELECT cluster, canonical_id, source_ids, linkedin_url, title, location, source, email, full_name, bio, company, first_contact_at, CASE WHEN c1 OR c2 OR c3 THEN 'pending_review' ELSE 'merged' END AS status, decided_by FROM plan JOIN f0 USING (cluster)""")
+def merge_plan_wide(spark, sf_dir):
+    p = wide_plans(spark, sf_dir)
+    return p.select("cluster", "canonical_id", joined("source_ids").alias("source_ids"), *(f"resolved.{c}" for c in ("linkedin_url", "title", "location", "source", "email", "full_name", "bio", "company")), "first_contact_at", "status", "decided_by")
+
+
+@query(f"""{WIDE_SQL}, c AS (SELECT cluster, unnest(list_filter([CASE WHEN c1 THEN 'email:' || array_to_string(works, '|') || ':' || len(works) || ' different work addresses across the cluster' END,
+  CASE WHEN c2 THEN 'email:' || array_to_string(privates, '|') || ':' || len(privates) || ' different personal addresses across the cluster' END,
+  CASE WHEN c3 THEN 'company:' || array_to_string(ckeys, '|') || ':records disagree on the employer after canonicalization' END], lambda x: x IS NOT NULL)) AS conflict FROM plan JOIN f0 USING (cluster)) SELECT cluster, conflict FROM c""")
+def conflict_flags_wide(spark, sf_dir):
+    rows = wide_plans(spark, sf_dir).select("cluster", F.explode("conflicts").alias("c"))
+    return rows.select("cluster", F.concat_ws(":", F.col("c.field"), F.array_join("c.values", "|"), F.col("c.detail")).alias("conflict"))
+
+
+@query(f"{WIDE_SQL}, {UNION_SQL}".replace("FROM plan)", "FROM plan JOIN f0 USING (cluster))"))
+def survivor_union_wide(spark, sf_dir):
+    return wide_plans(spark, sf_dir).select("cluster", F.array_join("resolved.needs", "|").alias("needs")).filter("needs != ''")
+
+
+PLACE_SQL = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}' END" for c in ("linkedin_url", "title", "location", "source", "full_name", "email", "company", "bio"))
+
+
+@query(f"{WIDE_SQL} SELECT cluster, array_to_string(list_sort(list_filter([{PLACE_SQL}], lambda x: x IS NOT NULL)), '|') AS known FROM plan JOIN f0 USING (cluster)")
+def provenance_fields(spark, sf_dir):
+    """The fields whose source a plan names: those that have a value."""
+    return wide_plans(spark, sf_dir).select("cluster", F.array_join(F.array_sort(F.map_keys("provenance")), "|").alias("known"))
+
+
+@query(f"{WIDE_SQL}, gk AS (SELECT cluster, CASE WHEN c1 OR c2 OR c3 THEN 'pending' ELSE 'merged' END AS k FROM plan JOIN f0 USING (cluster)) SELECT count_if(k = 'merged') AS merged, count_if(k = 'pending') AS pending, (SELECT count_if(k = 'merged') FROM gk) AS reverted FROM gk")
+def merge_state_counts(spark, sf_dir):
+    """Groups of a run over a history in which all merged ones were reverted once."""
+    plans = materialize(wide_plans(spark, sf_dir), "plans")
+    old = survivorship.merge_state(plans, plans.limit(0).withColumns({"created_at": F.lit(""), "reverted_at": F.lit("")}), "2024-01-01")[0]
+    history = old.withColumns({"reverted_at": F.when(F.col("status") == "merged", "2024-02-01"), "status": F.when(F.col("status") == "merged", "reverted").otherwise(F.col("status"))})
+    return survivorship.group_counts(survivorship.merge_state(plans, history, "2024-03-01")[0])
 
 
 @query(f"""{PLAN_SQL}, s AS (SELECT canonical_id, unnest(string_split(source_ids, '|')) AS id FROM plan WHERE NOT (c1 OR c2 OR c3)) SELECT id, canonical_id AS merged_into FROM s WHERE id != canonical_id""")
@@ -299,7 +369,7 @@ def reviews_of(pairs: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {O.ROUTED}, r AS (SELECT *, {DECIDED} AS decision FROM routed)
-SELECT a, b, CASE decision WHEN 'keep_both' THEN 'rejected' WHEN 'merge' THEN 'auto_merged' WHEN 'not_sure' THEN 'pending' ELSE review_state END AS review_state, decision,
+SELECT a, b, CASE decision WHEN 'keep_both' THEN 'rejected' ELSE review_state END AS review_state, decision,
   CASE WHEN decision IS NOT NULL THEN decision = 'keep_both' AND verdict = 'same_person' AND review_state = 'auto_merged' END AS overruled FROM r""")
 def keep_both_filter(spark, sf_dir):
     n = norm(spark, sf_dir)
@@ -308,6 +378,27 @@ def keep_both_filter(spark, sf_dir):
     return out.select("a", "b", "review_state", "decision", F.when(F.col("decision").isNotNull(), F.col("reason").endswith("[overruled by an operator: keep_both]")).alias("overruled"))
 
 
+@query(f"""WITH RECURSIVE {O.ROUTED}, r AS (SELECT *, {DECIDED} AS decision FROM routed)
+SELECT a, b, CASE decision WHEN 'keep_both' THEN 'rejected' WHEN 'merge' THEN 'auto_merged' WHEN 'not_sure' THEN 'pending' ELSE review_state END AS review_state, decision FROM r""")
+def decided_states(spark, sf_dir):
+    n = norm(spark, sf_dir)
+    pairs = materialize(cascade.route(n, blocking.candidates(n)), "pairs")
+    return decisions.decide(pairs, reviews_of(pairs)).select("a", "b", "review_state", "decision")
+
+
+@query(f"""{PLAN_SQL}, gone AS (SELECT unnest(string_split(source_ids, '|')) AS id FROM (SELECT source_ids FROM plan WHERE NOT (c1 OR c2 OR c3) ORDER BY canonical_id LIMIT 1)),
+  left_ AS (SELECT a, b FROM routed WHERE review_state = 'auto_merged' AND NOT (a IN (SELECT id FROM gone) AND b IN (SELECT id FROM gone))), {O.closure("SELECT a, b FROM left_", "again")} SELECT id, cluster FROM again""")
+def revert_merge(spark, sf_dir):
+    """The members of all groups after one was reverted and everything was recomputed."""
+    n = norm(spark, sf_dir)
+    pairs = materialize(cascade.route(n, blocking.candidates(n)), "pairs")
+    plans = materialize(survivorship.build_plans(n, pairs), "plans")
+    first = plans.filter("status = 'merged'").agg(F.min("canonical_id")).first()[0]
+    events = decisions.revert_events(plans, pairs, first, "2024-07-01")
+    assert decisions.revert(plans, first, "2024-07-01").filter("status = 'reverted'").count() == 1
+    return survivorship.build_plans(n, pairs, decisions.latest_decisions(events)).select(F.explode("source_ids").alias("id"), "cluster")
+
+
 @query(f"""WITH RECURSIVE {O.ROUTED}, e AS (SELECT a, b FROM routed WHERE review_state = 'auto_merged' AND coalesce({DECIDED}, '') != 'keep_both' UNION SELECT a, b FROM routed WHERE {DECIDED} = 'merge'),
   {O.closure("SELECT a, b FROM e")} SELECT id, cluster FROM member""")
 def revert_fold(spark, sf_dir):
@@ -350,8 +441,8 @@ def enum_distribution(spark, sf_dir):
     return enrichment.distribution(answers_of(spark, sf_dir))
 
 
-@query("""WITH q AS (SELECT item_id, trim(substr(text, 5, 40)) AS quote, trim(regexp_replace(lower(substr(text, 5, 40)), '\\s+', ' ', 'g')) AS folded FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS folded FROM documents)
-SELECT d.doc_id, count(*) AS total, sum(CASE WHEN length(q.quote) >= 4 AND contains(d.folded, q.folded) THEN 1 ELSE 0 END)::BIGINT AS verified FROM d JOIN q ON q.item_id % 20 = d.doc_id % 20 GROUP BY d.doc_id""")
+@query("""WITH q AS (SELECT trim(text) AS quote, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '\\s+', ' ', 'g')) AS folded FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '\\s+', ' ', 'g')) AS folded FROM documents)
+SELECT d.doc_id, count(*) AS total, sum(CASE WHEN length(q.quote) >= 4 AND contains(d.folded, q.folded) THEN 1 ELSE 0 END)::BIGINT AS verified FROM d JOIN q ON true GROUP BY d.doc_id""")
 def evidence_verify(spark, sf_dir):
     t = tables(spark, sf_dir, "documents", "benchmark")
     null = F.lit(None).cast("string")
@@ -425,10 +516,10 @@ def cache_key(spark, sf_dir):
 # --- matching --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS square, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS square, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) AS whole FROM embeddings")
 def vec_normalize(spark, sf_dir):
     v = tables(spark, sf_dir, "embeddings")["embeddings"].select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return v.select("vec_id", F.round(matching.dot(F.col("v"), F.col("v")), 4).alias("square"), F.round(matching.unit(F.col("v"))[0], 6).alias("first"))
+    return v.select("vec_id", F.round(matching.dot(F.col("v"), F.col("v")), 4).alias("square"), F.round(matching.unit(F.col("v"))[0], 6).alias("first"), F.round(F.aggregate(matching.unit(F.col("v")), F.lit(0.0), lambda s, x: s + x), 6).alias("whole"))
 
 
 UNITS_SQL = "u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-9)) AS v FROM embeddings)"
@@ -456,7 +547,32 @@ def pair_score(spark, sf_dir):
     return matching.score_pairs(vectors_of(spark, sf_dir)).select("a", "b", "score", "complementarity", "reciprocal")
 
 
-@query(f"WITH {UNITS_SQL} SELECT n.vec_id, max(list_dot_product(n.v, o.v)) >= 0.68 AS strong, arg_max(o.vec_id, (round(list_dot_product(n.v, o.v), 9), -o.vec_id)) AS best FROM u n JOIN u o ON o.label = n.label AND o.vec_id % 10 = 1 WHERE n.vec_id % 10 = 0 GROUP BY n.vec_id")
+# a person has the vectors of five neighbouring ids: two needs, two offers (equal ones for even people, so that they tie) and a profile; every seventh has no offers
+LISTS_SQL = f"""WITH {UNITS_SQL}, {LABELLED_SQL}, p AS (SELECT n.vec_id // 5 AS k, 'm-' || lpad((n.vec_id // 5)::VARCHAR, 6, '0') AS id, n.v AS n0, m.v AS n1, o.v AS o0, CASE WHEN (n.vec_id // 5) % 2 = 0 THEN o.v ELSE q.v END AS o1, f.v AS prof
+    FROM lu n JOIN lu m ON m.vec_id = n.vec_id + 1 JOIN lu o ON o.vec_id = n.vec_id + 2 JOIN lu q ON q.vec_id = n.vec_id + 3 JOIN lu f ON f.vec_id = n.vec_id + 4 WHERE n.vec_id % 5 = 0),
+  needs AS (SELECT id, 0 AS i, n0 AS v FROM p UNION ALL SELECT id, 1, n1 FROM p), offers AS (SELECT id, 0 AS j, o0 AS v FROM p WHERE k % 7 != 0 UNION ALL SELECT id, 1, o1 FROM p WHERE k % 7 != 0),
+  best AS (SELECT n.id AS x, o.id AS y, max(round(list_dot_product(n.v, o.v), 9)) AS f, arg_max({{'i': i, 'j': j}}, (round(list_dot_product(n.v, o.v), 9), -i, -j)) AS w FROM needs n JOIN offers o ON n.id != o.id GROUP BY 1, 2),
+  s AS (SELECT x.id AS x, y.id AS y, coalesce(f.f, 0) AS f, coalesce(g.f, 0) AS b, coalesce(f.w.i, -1) AS fi, coalesce(f.w.j, -1) AS fj, coalesce(g.w.i, -1) AS gi, coalesce(g.w.j, -1) AS gj, list_dot_product(x.prof, y.prof) AS sim
+    FROM p x JOIN p y ON x.id < y.id LEFT JOIN best f ON f.x = x.id AND f.y = y.id LEFT JOIN best g ON g.x = y.id AND g.y = x.id),
+  t AS (SELECT CASE WHEN f >= b THEN x ELSE y END AS a, CASE WHEN f >= b THEN y ELSE x END AS b, greatest(f, b) AS hi, least(f, b) AS lo, sim, CASE WHEN f >= b THEN fi ELSE gi END AS need_i, CASE WHEN f >= b THEN fj ELSE gj END AS offer_j, CASE WHEN f >= b THEN gi ELSE fi END AS reverse_i, CASE WHEN f >= b THEN gj ELSE fj END AS reverse_j FROM s WHERE greatest(f, b) >= 0.68),
+  sc AS (SELECT *, round(0.6 * hi + 0.15 * lo + 0.1 * sim + CASE WHEN lo >= 0.62 THEN 0.15 ELSE 0 END, 4) AS score, lo >= 0.62 AS reciprocal FROM t), scored AS (SELECT * FROM sc WHERE score >= 0.55)"""
+
+
+def lists_of(spark, sf_dir) -> DataFrame:
+    u = tables(spark, sf_dir, "embeddings")["embeddings"].select("vec_id", "label", matching.unit(F.col("embedding")).alias("v"))
+    pulled = F.concat("v", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("label"), PULL).otherwise(0.0)))
+    u = u.select(F.expr("vec_id div 5").alias("k"), (F.col("vec_id") % 5).alias("part"), pulled.alias("v")).select("k", "part", matching.unit(F.col("v")).alias("v"))
+    rows = u.groupBy("k").agg(*(F.max(F.when(F.col("part") == i, F.col("v"))).alias(f"v{i}") for i in range(5))).filter(" AND ".join(f"v{i} IS NOT NULL" for i in range(5)))
+    offers = F.when(F.col("k") % 7 != 0, F.array("v2", F.when(F.col("k") % 2 == 0, F.col("v2")).otherwise(F.col("v3"))))
+    return rows.select(F.concat(F.lit("m-"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("id"), F.array("v0", "v1").alias("needs"), offers.alias("offers"), F.col("v4").alias("profile"))
+
+
+@query(f"{LISTS_SQL} SELECT a, b, score, reciprocal, need_i, offer_j, reverse_i, reverse_j FROM scored")
+def pair_score_lists(spark, sf_dir):
+    return matching.score_pairs(lists_of(spark, sf_dir)).select("a", "b", "score", "reciprocal", "need_i", "offer_j", "reverse_i", "reverse_j")
+
+
+@query(f"WITH {UNITS_SQL} SELECT n.vec_id, max(list_dot_product(n.v, o.v)) >= 0.68 AS strong, arg_max(o.vec_id, (round(list_dot_product(n.v, o.v), 9), -o.vec_id)) AS best FROM u n JOIN u o ON o.label = n.label AND o.vec_id != n.vec_id GROUP BY n.vec_id")
 def vec_best_match(spark, sf_dir):
     u = tables(spark, sf_dir, "embeddings")["embeddings"].select("vec_id", "label", matching.unit(F.col("embedding")).alias("v"))
     return matching.best_of_label(u).select("vec_id", (F.col("sim") >= 0.68).alias("strong"), "best")
@@ -488,6 +604,11 @@ def pair_filters_attrib(spark, sf_dir):
     return matching.rejections(rows, 0, near(1), near(2), none)
 
 
+@query(FILTER_SQL.replace("SELECT reason, count(r.reason) AS n FROM", "SELECT reason, count(r.reason) AS n, row_number() OVER (ORDER BY count(r.reason) DESC, reason)::INT AS place FROM"))
+def rejections_ranked(spark, sf_dir):
+    return reports.by_count(pair_filters_attrib(spark, sf_dir))
+
+
 @query("SELECT status, count(s.status) AS n FROM (SELECT unnest(['suggested', 'approved', 'dismissed']) AS status) LEFT JOIN (SELECT CASE event_type WHEN 'view' THEN 'suggested' WHEN 'purchase' THEN 'approved' ELSE 'other' END AS status FROM events) s USING (status) GROUP BY status")
 def status_counts_zero_filled(spark, sf_dir):
     e = tables(spark, sf_dir, "events")["events"]
@@ -507,8 +628,8 @@ def state_of(spark, sf_dir) -> dict[str, DataFrame]:
     k = F.col("id").substr(3, 8).cast("long")
     enriched = n.select(F.col("id").alias("person_id"), F.when(k % 3 == 0, "founder").otherwise("ic").alias("persona"), F.when(k % 4 != 0, 0.8).otherwise(0.0).alias("confidence"))
     total = (30 + k % 60).cast("double")
-    scores = n.filter("source = 'applicant_form'").select(F.col("id").alias("person_id"), total.alias("total"), rubric.band(total).alias("band"))
-    intros = pairs.select("a", "b", F.round(F.col("score") / 100, 4).alias("score"), F.when(F.col("review_state") == "pending", "suggested").otherwise("dismissed").alias("status"))
+    scores = n.filter("source = 'applicant_form'").select(F.col("id").alias("person_id"), total.alias("total"), rubric.band(total).alias("band"), F.when(k % 3 == 0, "clear").when(k % 3 == 1, "").alias("explanation"))
+    intros = pairs.select("a", "b", F.round(F.col("score") / 100, 4).alias("score"), F.when(F.col("review_state") == "pending", "suggested").otherwise("dismissed").alias("status"), F.when(F.col("score") >= 90, "both sides gain").alias("why"))
     return {"people": folk, "pairs": pairs, "plans": plans, "decisions": log, "enrichment": enriched, "scores": scores, "intros": intros, "applications": scores.select("person_id")}
 
 
@@ -541,12 +662,9 @@ def top_intros(spark, sf_dir):
 
 @query(f"{STATE_SQL} SELECT row_number() OVER (ORDER BY CASE band WHEN 'review' THEN 0 WHEN 'strong' THEN 1 ELSE 2 END, total DESC, person_id)::INT AS place, person_id, total, band, full_name, CAST(substr(person_id, 3) AS BIGINT) % 4 = 0 AS enrichment_missing FROM sb JOIN norm ON id = person_id")
 def applicants_ranked(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = reports.applicants(state_of(spark, sf_dir), for_queue=True)
-    first = F.when(F.col("band") == "review", 0).when(F.col("band") == "strong", 1).otherwise(2)
-    place = F.row_number().over(Window.orderBy(first, F.desc("total"), "person_id"))
-    return rows.select(place.alias("place"), "person_id", "total", "band", "full_name", "enrichment_missing")
+    rows = reports.applicants(state_of(spark, sf_dir)).withColumn("first", F.when(F.col("band") == "review", 0).when(F.col("band") == "strong", 1).otherwise(2)).withColumn("less", -F.col("total"))
+    rows = numbered(rows, ["first", "less", "person_id"])
+    return rows.select((F.col("n") + 1).cast("int").alias("place"), "person_id", "total", "band", "full_name", "enrichment_missing")
 
 
 @query(f"""{STATE_SQL} SELECT id, full_name, CASE WHEN CAST(substr(id, 3) AS BIGINT) % 4 != 0 THEN CASE WHEN CAST(substr(id, 3) AS BIGINT) % 3 = 0 THEN 'founder' ELSE 'ic' END END AS persona, total
@@ -556,6 +674,19 @@ def people_search(spark, sf_dir):
     return reports.search(state_of(spark, sf_dir), q=" Labs INC ", persona="founder").select("id", "full_name", "persona", "total")
 
 
+@query(f"""{STATE_SQL}, f AS (SELECT id, full_name, band FROM folk JOIN sb ON person_id = id WHERE merged_into IS NULL AND band = 'review' AND (blocked_reason IS NOT NULL OR score < 1))
+SELECT id, full_name, band, (SELECT count(*) FROM f) AS found FROM f ORDER BY id LIMIT 20""")
+def people_search_page(spark, sf_dir):
+    return reports.search(state_of(spark, sf_dir), band="review", incomplete=True, limit=20).select("id", "full_name", "band", "found")
+
+
+@query(f"{STATE_SQL} SELECT f.id, f.merged_into FROM folk f WHERE merged_into = (SELECT min(merged_into) FROM folk)")
+def merged_children(spark, sf_dir):
+    state = state_of(spark, sf_dir)
+    first = state["people"].agg(F.min("merged_into")).first()[0]
+    return reports.person(state, first)["merged"].select("id", "merged_into")
+
+
 @query(f"{STATE_SQL} SELECT r.a, r.b, CASE WHEN r.a = 'p-00000003' THEN r.b ELSE r.a END AS other, round(r.score / 100, 4) AS score, n.full_name AS other_name FROM routed r JOIN norm n ON n.id = CASE WHEN r.a = 'p-00000003' THEN r.b ELSE r.a END WHERE r.a = 'p-00000003' OR r.b = 'p-00000003'")
 def person_neighbors(spark, sf_dir):
     return reports.person(state_of(spark, sf_dir), "p-00000003")["suggestions"].select("a", "b", "other", "score", "other_name")
@@ -577,7 +708,7 @@ def queue_counts(spark, sf_dir):
 
 
 @query(f"""{STATE_SQL}, mm AS (SELECT (SELECT count(*) FROM norm) AS people, (SELECT count_if(merged_into IS NULL) FROM folk) AS canonical, (SELECT count(*) FROM norm) AS enrichment, (SELECT count_if(CAST(substr(id, 3) AS BIGINT) % 4 != 0) FROM norm) AS enriched,
-  (SELECT count(*) FROM sb) AS applicant_scores, 0::BIGINT AS explained, (SELECT count(*) FROM routed) AS introductions, 0::BIGINT AS intros_with_copy, (SELECT count_if(review_state = 'pending') FROM routed) AS intros_suggested)
+  (SELECT count(*) FROM sb) AS applicant_scores, (SELECT count_if(CAST(substr(person_id, 3) AS BIGINT) % 3 = 0) FROM sb) AS explained, (SELECT count(*) FROM routed) AS introductions, (SELECT count_if(score >= 90) FROM routed) AS intros_with_copy, (SELECT count_if(review_state = 'pending') FROM routed) AS intros_suggested)
 SELECT metric, n FROM mm UNPIVOT (n FOR metric IN (people, canonical, enrichment, enriched, applicant_scores, explained, introductions, intros_with_copy, intros_suggested))""")
 def health_counts(spark, sf_dir):
     return reports.health(state_of(spark, sf_dir))
@@ -617,21 +748,45 @@ def near_miss_rate(spark, sf_dir):
     return evaluate.near_miss_rate(near, evaluate.split_predictions(cascade.route(n, blocking.candidates(n)))[0])
 
 
-@query(f"""WITH RECURSIVE {O.SCORED}, {TRUTH_SQL}, d AS (SELECT a, b, 'stage1_merged' AS outcome, 100.0 AS score FROM settled WHERE exact IS NOT NULL UNION ALL SELECT a, b, CASE WHEN score >= 92 THEN 'stage2_auto_merged' WHEN score >= 78 THEN 'stage2_escalated' ELSE 'stage2_dropped' END, score FROM scored),
+@query(f"""WITH RECURSIVE {O.SCORED}, {TRUTH_SQL}, d AS (SELECT a, b, 'stage1_merged' AS outcome, 100.0 AS score, NULL::DOUBLE AS nm, NULL::DOUBLE AS comp FROM settled WHERE exact IS NOT NULL UNION ALL SELECT a, b, CASE WHEN score >= 92 THEN 'stage2_auto_merged' WHEN score >= 78 THEN 'stage2_escalated' ELSE 'stage2_dropped' END, score, nm, comp FROM scored),
   shared AS (SELECT DISTINCT x.id AS a, y.id AS b FROM keyed x JOIN keyed y USING (key) JOIN truth t ON t.a = x.id AND t.b = y.id)
-SELECT t.a, t.b, coalesce(outcome, 'never_a_candidate') AS outcome, CASE WHEN outcome IS NULL AND s.a IS NULL THEN 'no shared key' WHEN outcome IS NULL THEN 'bucket too large' ELSE '' END AS why FROM truth t LEFT JOIN d USING (a, b) LEFT JOIN shared s ON s.a = t.a AND s.b = t.b""")
+SELECT t.a, t.b, coalesce(outcome, 'never_a_candidate') AS outcome, CASE WHEN outcome IS NULL AND s.a IS NULL THEN 'never became a candidate: no shared blocking key' WHEN outcome IS NULL THEN 'never became a candidate: blocking bucket too large'
+  WHEN outcome = 'stage2_dropped' THEN 'scored ' || score::VARCHAR || ' < ESCALATE_FLOOR (name ' || round(nm::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE::VARCHAR || ', company ' || coalesce(round(comp::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE::VARCHAR, 'None') || ')'
+  WHEN outcome = 'stage2_escalated' THEN 'escalated at ' || score::VARCHAR || ', awaiting stage 3' ELSE outcome END AS why FROM truth t LEFT JOIN d USING (a, b) LEFT JOIN shared s ON s.a = t.a AND s.b = t.b""")
 def miss_diagnosis(spark, sf_dir):
     n = norm(spark, sf_dir)
-    out = cascade.explain_miss(truth_of(n), n, materialize(blocking.candidates(n), "candidates"))
-    why = F.when(F.col("why").endswith("no shared blocking key"), "no shared key").when(F.col("why").endswith("bucket too large"), "bucket too large").otherwise("")
-    return out.select("a", "b", "outcome", why.alias("why"))
+    return cascade.explain_miss(truth_of(n), n, materialize(blocking.candidates(n), "candidates"))
+
+
+@query(f"""{PLAN_SQL}, {TRUTH_SQL}, held AS (SELECT unnest(string_split(source_ids, '|')) AS id, cluster FROM plan WHERE NOT (c1 OR c2 OR c3)), made AS (SELECT x.id AS a, y.id AS b FROM held x JOIN held y USING (cluster) WHERE x.id < y.id),
+  mt AS (SELECT (SELECT count(*) FROM truth JOIN made USING (a, b)) AS tp, (SELECT count(*) FROM made) AS n, (SELECT count(*) FROM truth) AS t), q AS (SELECT tp, n - tp AS fp, t - tp AS fn, tp / n::DOUBLE AS pr, tp / t::DOUBLE AS re FROM mt)
+SELECT tp, fp, fn, round(pr, 4) AS precision, round(re, 4) AS recall, round(2 * pr * re / (pr + re), 4) AS f1 FROM q""")
+def effective_metrics(spark, sf_dir):
+    """Of the pairs that are merged in effect, transitively; groups held back by a conflict merge nothing."""
+    n = norm(spark, sf_dir)
+    plans = survivorship.build_plans(n, materialize(cascade.route(n, blocking.candidates(n)), "pairs"))
+    members = plans.filter("status = 'merged'").select("cluster", F.explode("source_ids").alias("id"))
+    return evaluate.group_metrics(truth_of(n), materialize(members, "members"))
 
 
-@query("SELECT l_returnflag AS metric, round(avg(l_discount) FILTER (l_linenumber <= 3), 4) AS tuned, round(avg(l_discount) FILTER (l_linenumber > 3), 4) AS held_out, coalesce(round(avg(l_discount) FILTER (l_linenumber > 3), 4) < round(avg(l_discount) FILTER (l_linenumber <= 3), 4), false) AS regressed FROM lineitem GROUP BY 1")
+def half_sql(part: int) -> str:
+    """The cascade's figures on half of the people, by a rule on the id."""
+    norm_ = O.ROUTED.replace(" AS blocked_reason FROM listed)", f" AS blocked_reason FROM listed WHERE CAST(substr(id, 3) AS BIGINT) // 14 % 2 = {part})")
+    return f"""(WITH RECURSIVE {norm_}, {TRUTH_SQL}, j AS (SELECT t.a IS NOT NULL AS t, coalesce(r.verdict = 'same_person', false) AS p, coalesce(r.method = 'escalated_not_adjudicated', false) AS u FROM truth t FULL JOIN routed r ON r.a = t.a AND r.b = t.b),
+  m AS (SELECT count_if(t AND p AND NOT u) AS tp, count_if(NOT t AND p AND NOT u) AS fp, count_if(t AND NOT (p AND NOT u) AND NOT u) AS fn FROM j), q AS (SELECT *, tp / (tp + fp)::DOUBLE AS pr, tp / (tp + fn)::DOUBLE AS re FROM m)
+  SELECT metric, value FROM (SELECT tp::DOUBLE AS tp, fp::DOUBLE AS fp, fn::DOUBLE AS fn, round(pr, 4) AS precision, round(re, 4) AS recall, round(2 * pr * re / (pr + re), 4) AS f1 FROM q) UNPIVOT (value FOR metric IN (tp, fp, fn, precision, recall, f1)))"""
+
+
+@query(f"SELECT metric, x.value AS tuned, y.value AS held_out, y.value < x.value AS regressed FROM {half_sql(0)} x JOIN {half_sql(1)} y USING (metric)")
 def holdout_compare(spark, sf_dir):
-    li = tables(spark, sf_dir, "lineitem")["lineitem"]
-    run = lambda cond: li.filter(cond).groupBy(F.col("l_returnflag").alias("metric")).agg(F.round(F.avg("l_discount"), 4).alias("value"))
-    return evaluate.compare_runs(run("l_linenumber <= 3"), run("l_linenumber > 3"))
+    n = norm(spark, sf_dir)
+
+    def run(part: int) -> DataFrame:
+        half = materialize(n.filter(F.expr("CAST(substr(id, 3) AS BIGINT) div 14") % 2 == part), "half")
+        pairs = materialize(cascade.route(half, blocking.candidates(half)), "pairs")
+        return evaluate.as_metrics(evaluate.pair_metrics(truth_of(half), *evaluate.split_predictions(pairs)).drop("unresolved_truth"))
+
+    return evaluate.compare_runs(run(0), run(1))
 
 
 # --- layers, answers and texts ---------------------------------------------------------------------------------------
@@ -687,7 +842,7 @@ def display_names(spark, sf_dir):
     return materialize(people(spark, sf_dir), "people").select("id", text.title_case(F.col("full_name")).alias("shown"), text.first_name(F.col("full_name")).alias("first"))
 
 
-@query(f"WITH people AS ({O.PEOPLE_SQL}) SELECT id, replace(concat_ws(' ', nullif(title, ''), nullif(company, ''), nullif(bio, '')), '_', ' ') AS profile FROM people")
+@query(f"WITH people AS ({O.PEOPLE_SQL}) SELECT id, coalesce(nullif(replace(concat_ws(' ', nullif(title, ''), nullif(company, ''), nullif(bio, '')), '_', ' '), ''), full_name, '') AS profile FROM people")
 def profile_text(spark, sf_dir):
     null = F.lit(None).cast("string")
     rows = materialize(people(spark, sf_dir), "people").withColumns({c: null for c in ("persona", "sector", "geography")})
@@ -700,3 +855,76 @@ def intro_decisions(spark, sf_dir):
     log = log_of(spark, sf_dir)
     pairs = log.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().unionByName(spark.sql("SELECT 1000L AS a, 2000L AS b"))
     return decisions.intro_states(pairs, log).select("a", "b", "status", "decided_at")
+
+
+@query(f"WITH e AS ({ENRICH_SQL}), n AS (SELECT * REPLACE ('unknown' AS sector) FROM e WHERE CAST(person_id AS BIGINT) % 3 = 0), o AS (SELECT * FROM e WHERE CAST(person_id AS BIGINT) % 2 = 0), g AS (SELECT * FROM n WHERE {VALID_SQL}) SELECT person_id, sector FROM g UNION ALL SELECT person_id, sector FROM o WHERE person_id NOT IN (SELECT person_id FROM g)")
+def enrichment_upsert(spark, sf_dir):
+    rows = answers_of(spark, sf_dir)
+    k = F.col("person_id").cast("long")
+    return enrichment.store(rows.filter(k % 2 == 0), rows.filter(k % 3 == 0).withColumn("sector", F.lit("unknown")))[0].select("person_id", "sector")
+
+
+@query(f"""WITH e AS ({ENRICH_SQL}), r AS (SELECT CAST(c_custkey AS STRING) AS person_id, CASE WHEN c_custkey % 5 != 0 THEN 'Works as ' || c_mktsegment END AS bio FROM customer UNION ALL SELECT 'x-' || CAST(n_nationkey AS STRING), NULL FROM nation),
+  j AS (SELECT r.person_id, bio, e.persona, e.confidence, e.person_id IS NOT NULL AS got FROM r LEFT JOIN e USING (person_id)),
+  f AS (SELECT count(*)::DOUBLE AS records, count_if(got)::DOUBLE AS returned, count_if(NOT got)::DOUBLE AS missing, count_if(got AND persona = 'unknown')::DOUBLE AS unknown_persona, count_if(got AND confidence < 0.5)::DOUBLE AS low_confidence, round(avg(coalesce(confidence, 0)), 3) AS mean_confidence,
+    count_if(got)::DOUBLE AS evidence_total, count_if(got AND bio IS NOT NULL)::DOUBLE AS evidence_verified, count_if(got AND bio IS NULL)::DOUBLE AS records_with_bad_evidence, round(count_if(got AND bio IS NOT NULL) / count_if(got)::DOUBLE, 4) AS evidence_rate FROM j)
+SELECT metric, value FROM f UNPIVOT (value FOR metric IN (records, returned, missing, unknown_persona, low_confidence, mean_confidence, evidence_total, evidence_verified, records_with_bad_evidence, evidence_rate))""")
+def enrichment_funnel(spark, sf_dir):
+    t = tables(spark, sf_dir, "customer", "nation")
+    null = F.lit(None).cast("string")
+    rows = t["customer"].select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lit("Works as "), "c_mktsegment")).alias("bio")).unionByName(t["nation"].select(F.concat(F.lit("x-"), F.col("n_nationkey").cast("string")).alias("id"), null.alias("bio")))
+    records = rows.select("id", "bio", *(null.alias(c) for c in ("full_name", "email", "linkedin_url", "company", "title", "location")), *(F.array().cast("array<string>").alias(c) for c in ("needs", "offers")))
+    return enrichment.funnel(records, answers_of(spark, sf_dir))
+
+
+@query(f"WITH e AS ({ENRICH_SQL}), o AS (SELECT DISTINCT CAST(o_custkey + 100 AS STRING) AS person_id FROM orders) SELECT (SELECT count(*) FROM customer) AS canonical, (SELECT count(*) FROM e WHERE confidence > 0) AS enriched, (SELECT count(*) FROM o) AS applicants, (SELECT count(*) FROM e JOIN o USING (person_id) WHERE confidence > 0) AS applicants_enriched")
+def backfill_progress(spark, sf_dir):
+    t = tables(spark, sf_dir, "customer", "orders")
+    folk = t["customer"].select(F.col("c_custkey").cast("string").alias("id"), F.lit(None).cast("string").alias("merged_into"))
+    return enrichment.progress(folk, answers_of(spark, sf_dir), t["orders"].select((F.col("o_custkey") + 100).cast("string").alias("person_id")).distinct())
+
+
+@query(f"{RUBRIC_SQL} SELECT person_id, p1::DOUBLE AS persona_fit, p5 AS profile_signal, total, CASE WHEN band = 'weak' THEN 'why_not' ELSE 'why' END AS explanation_kind, '12.345|999' AS unsupported FROM b")
+def score_audit(spark, sf_dir):
+    """Scores to store, with prose that names the total, the points of a component, and two numbers that nothing supports."""
+    scores = materialize(scores_of(spark, sf_dir), "scores")
+    said = F.concat(F.lit("In all "), F.col("total").cast("string"), F.lit(" of 100, 12.345 better than 999 others"))
+    prose = scores.select("person_id", said.alias("explanation"), F.array(F.concat(F.lit("persona_fit: "), F.col("components")[0]["points"].cast("int").cast("string"))).alias("bullets"))
+    return rubric.score_rows(scores, prose, "2024-01-01").select("person_id", "persona_fit", "profile_signal", "total", "explanation_kind", F.array_join("unsupported_numbers", "|").alias("unsupported"))
+
+
+@query("SELECT vec_id::VARCHAR AS person_id, 'profile' AS kind, len(embedding)::INT AS dim, round(embedding[1]::DOUBLE, 6) AS first, 'given' AS model FROM embeddings")
+def embedding_rows(spark, sf_dir):
+    v = tables(spark, sf_dir, "embeddings")["embeddings"].select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("profile"))
+    return layers.embedding_rows(v, "given", "2024-01-01").select("person_id", "kind", "dim", F.round(F.col("vector")[0].cast("double"), 6).alias("first"), "model")
+
+
+@query("SELECT to_json({'status': status, 'n': count(s.status)})::VARCHAR AS report FROM (SELECT unnest(['suggested', 'approved', 'dismissed']) AS status) LEFT JOIN (SELECT CASE event_type WHEN 'view' THEN 'suggested' WHEN 'purchase' THEN 'approved' ELSE 'other' END AS status FROM events) s USING (status) GROUP BY status")
+def report_json(spark, sf_dir):
+    return reports.as_json(status_counts_zero_filled(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT o_custkey % 50 AS a, 50 + o_orderkey % 50 AS b, max(o_orderpriority) AS note FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2), c AS (SELECT DISTINCT o_custkey % 50 AS a, 50 + o_orderkey % 50 AS b FROM orders)
+SELECT a, b, note FROM d UNION ALL SELECT a, b, 'new' FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.a = c.a AND d.b = c.b)""")
+def intro_rewrite(spark, sf_dir):
+    """Suggestions written anew, decided ones as they were."""
+    o = tables(spark, sf_dir, "orders")["orders"].withColumns({"a": F.col("o_custkey") % 50, "b": 50 + F.col("o_orderkey") % 50})
+    kept = o.filter("o_orderstatus = 'F'").groupBy("a", "b").agg(F.max("o_orderpriority").alias("note"))
+    return layers.rewrite_keeping(o.select("a", "b", F.lit("new").alias("note")).distinct(), kept, ["a", "b"])
+
+
+@query("WITH q AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE event_type = 'click') SELECT event_id, n // 10 AS batch, n % 10 AS pair_index FROM q")
+def adjudication_batches(spark, sf_dir):
+    e = tables(spark, sf_dir, "events")["events"].filter("event_type = 'click'")
+    return cascade.batches(e.select("event_id", F.col("event_id").alias("a"), F.lit(0).alias("b"))).select("event_id", "batch", "pair_index")
+
+
+@query("SELECT event_type AS stage, max(event_id) AS id, arg_max(user_id, event_id) AS records_in FROM events GROUP BY event_type")
+def last_runs(spark, sf_dir):
+    """The last run of every stage of a run log made from events."""
+    e = tables(spark, sf_dir, "events")["events"]
+    zero = F.lit(0).cast("long")
+    runs = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("stage"), F.date_format("ts", "yyyy-MM-dd").alias("started_at"), zero.alias("llm_calls"), zero.alias("cache_hits"), F.col("user_id").alias("records_in"), zero.alias("records_out"), F.create_map(F.lit("x"), F.lit(1).cast("long")).alias("notes"))
+    kinds = [r.stage for r in runs.select("stage").distinct().collect()]  # a closed list of stages
+    out = [layers.last_run(runs, k).select("stage", "id", "records_in") for k in kinds]
+    return reduce(DataFrame.unionByName, out)

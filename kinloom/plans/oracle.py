@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.normalize import role_tables
 from ..functions.tables import (
     BLOCKED_BOTH,
     BLOCKED_COMPANY,
@@ -17,6 +16,7 @@ from ..functions.tables import (
     MAX_BUCKET,
     NAME_SUFFIXES,
     PERSONAL_DOMAINS,
+    TITLE_ROLES,
     TITLE_WORDS,
 )
 from .people import PEOPLE_SQL
@@ -35,7 +35,10 @@ def squeeze(x: str) -> str:
 
 
 FLAT = "|".join(sorted({x.replace(" ", "") for x in LEGAL_FORMS}, key=len, reverse=True))
-EXACT, PARTS = role_tables()
+SMALL_WORDS = {"of", "the", "to", "for", "at", "a", "an"}
+#: The roles' titles in the form that cleaning leaves; of equal forms the last one's role, and by sorted parts the first one's.
+EXACT = {" ".join(x for w in k.split() for x in TITLE_WORDS.get(w, w).split() if x not in SMALL_WORDS): v for k, v in TITLE_ROLES.items()}
+PARTS = {" and ".join(sorted(k.split(" and "))): v for k, v in reversed(EXACT.items())}
 
 
 def _key(x: str, turns: int = 5) -> str:
@@ -134,11 +137,11 @@ ROUTED = f"""{SCORED},
       CASE WHEN score >= 92 THEN 'auto_merged' ELSE 'pending' END, score FROM scored WHERE score >= 78)"""
 
 
-def closure(edges: str) -> str:
-    """CTE bodies: member(id, cluster) for a query with columns a, b."""
-    return f"""ed AS ({edges}), both_ AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
-  reach AS (SELECT a AS id, a AS r FROM both_ UNION SELECT x.id, e.b FROM reach x JOIN both_ e ON e.a = x.r),
-  member AS (SELECT id, min(r) AS cluster FROM reach GROUP BY id)"""
+def closure(edges: str, name: str = "member") -> str:
+    """CTE bodies: name(id, cluster) for a query with columns a, b."""
+    return f"""{name}_ed AS ({edges}), {name}_both AS (SELECT a, b FROM {name}_ed UNION SELECT b, a FROM {name}_ed),
+  {name}_reach AS (SELECT a AS id, a AS r FROM {name}_both UNION SELECT x.id, e.b FROM {name}_reach x JOIN {name}_both e ON e.a = x.r),
+  {name} AS (SELECT id, min(r) AS cluster FROM {name}_reach GROUP BY id)"""
 
 
 MERGE_EDGES = "SELECT a, b FROM routed WHERE review_state = 'auto_merged'"

@@ -6,10 +6,11 @@ plans (merge plans), enrichment, scores, applications, intros (with status).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.decisions import latest_decisions
+from ..operators.evaluate import same_group
 from ..operators.records import describe_gaps
 
 DAILY = 10
@@ -20,16 +21,16 @@ def decided(state: dict[str, DataFrame]) -> DataFrame:
     return latest_decisions(state["decisions"]).select("a", "b", "decision", "decided_at")
 
 
-def held_pairs(plans: DataFrame) -> DataFrame:
-    """(a, b) inside one group that waits for review."""
-    ids = plans.filter("status = 'pending_review'").select("canonical_id", F.explode("source_ids").alias("id"))
-    return ids.select("canonical_id", F.col("id").alias("a")).join(ids.select("canonical_id", F.col("id").alias("b")), "canonical_id").filter("a < b").select("a", "b").distinct()
+def held_pairs(pairs: DataFrame, plans: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that lie inside one group that waits for review."""
+    ids = plans.filter("status = 'pending_review'").select(F.col("canonical_id").alias("cluster"), F.explode("source_ids").alias("id"))
+    return same_group(pairs.select("a", "b"), ids).select("a", "b").distinct()
 
 
 def needs_decision(state: dict[str, DataFrame]) -> DataFrame:
     """Undecided pairs that the pipeline couldn't settle: it abstained, or their group holds a conflict."""
     open_ = state["pairs"].join(decided(state), ["a", "b"], "left_anti")
-    held = held_pairs(state["plans"]).withColumn("held", F.lit(True))
+    held = held_pairs(open_, state["plans"]).withColumn("held", F.lit(True))
     return open_.join(held, ["a", "b"], "left").filter("verdict = 'insufficient_evidence' OR held").drop("held")
 
 
@@ -86,8 +87,8 @@ def status_counts(intros: DataFrame) -> DataFrame:
     return names.join(intros.groupBy("status").agg(F.count(F.lit(1)).alias("n")), "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def search(state: dict[str, DataFrame], q: str = "", persona: str = "", band: str = "", incomplete: bool = False) -> DataFrame:
-    """Canonical people whose joined fields hold q, with persona, band and total; callers limit."""
+def search(state: dict[str, DataFrame], q: str = "", persona: str = "", band: str = "", incomplete: bool = False, limit: int | None = 500) -> DataFrame:
+    """Canonical people whose joined fields hold q, with persona, band and total, the first limit by id (a top-k report); found: how many there are without it."""
     c = F.col("completeness")
     rows = state["people"].filter("merged_into IS NULL")
     enriched = state["enrichment"].filter("confidence > 0").select(F.col("person_id").alias("id"), "persona")
@@ -102,7 +103,8 @@ def search(state: dict[str, DataFrame], q: str = "", persona: str = "", band: st
         rows = rows.filter(F.col("band") == band)
     if incomplete:
         rows = rows.filter(c["blocked"] | (c["score"] < 1.0))
-    return rows.orderBy("id")
+    rows = rows.withColumn("found", F.lit(rows.count()).cast("long")).orderBy("id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def person(state: dict[str, DataFrame], person_id: str) -> dict[str, DataFrame]:
@@ -136,6 +138,16 @@ def queue_counts(state: dict[str, DataFrame]) -> DataFrame:
     return stacked(parts)
 
 
+def by_count(rejections: DataFrame) -> DataFrame:
+    """Reasons (reason, n), the most frequent first, with their place; reasons are a short closed list."""
+    return rejections.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "reason"))).orderBy("place")
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """Rows as JSON objects, one a row (column report)."""
+    return rows.select(F.to_json(F.struct("*")).alias("report"))
+
+
 def stacked(parts: list[DataFrame]) -> DataFrame:
     """One-row tables of counts as (metric, n)."""
     out = None
