@@ -1,4 +1,4 @@
-"""Every named query against its DuckDB twin on the smallest tables."""
+"""Every named query against its DuckDB twin, on the tables of the driver's comparison."""
 
 import math
 
@@ -7,7 +7,9 @@ import pytest
 
 from kinloom.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
+#: Queries whose result is empty on these tables; others like them use rules under which it isn't.
+NOTHING = {"block_skipped", "conflict_flags"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -30,6 +32,7 @@ def rows(columns, data):
 def test_query(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     data = got.collect()
+    assert data or name in NOTHING
     if name in catalog.SQL:
         want = duck.sql(catalog.SQL[name])
         assert sorted(got.columns) == sorted(want.columns)

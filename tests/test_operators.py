@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinloom.operators import blocking, cascade, decisions, enrichment, evaluate, matching, rubric, survivorship
+from kinloom.operators import blocking, cascade, decisions, enrichment, evaluate, matching, rubric, shared, survivorship
 from kinloom.operators.records import describe_gaps, normalize_records
 from kinloom.operators.shared import connected_components
 from kinloom.sources import layers
@@ -119,6 +119,20 @@ def test_decisions(spark):
         decisions.revert(plans, "nobody", "2025-03-01")
 
 
+def test_recomputation_keeps_only_keep_both(spark):
+    rows = norm(spark, {}, {"full_name": "P. Raghavan"})
+    pairs = cascade.route(rows, blocking.candidates(rows))
+    state = pairs.first().review_state
+    for decision, after, again in (("keep_both", "rejected", "rejected"), ("merge", "auto_merged", state), ("not_sure", "pending", state)):
+        said = log(spark, ("p-0001", "p-0002", decision, "2025-01-01"))
+        assert decisions.decide(pairs, said).first().review_state == after
+        assert decisions.apply_decisions(pairs, said).first().review_state == again
+    both = log(spark, ("p-0001", "p-0002", "merge", "2025-01-01"), ("p-0003", "p-0002", "merge", "2025-01-01"), ("p-0003", "p-0004", "keep_both", "2025-01-01"))
+    assert {(r.id, r.merged_into) for r in decisions.pointers(both).collect()} == {("p-0002", "p-0001"), ("p-0003", "p-0002")}
+    asserted, _ = evaluate.split_predictions(decisions.apply_decisions(pairs, log(spark, ("p-0001", "p-0002", "keep_both", "1"))))
+    assert asserted.count() == 1  # what the pipeline said, whatever a person decided
+
+
 def test_intro_decisions(spark):
     intros = spark.createDataFrame([("b", "a", 0.9), ("c", "d", 0.8)], "a string, b string, score double")
     blocked = log(spark, ("a", "b", "block", "1"))
@@ -173,6 +187,61 @@ def test_greedy_matching(spark):
     assert sorted(x.a for x in matching.greedy_match(spark.createDataFrame(hub, "a string, b string, score double"), 3).collect()) == ["offer0", "offer1", "offer2"]
 
 
+def brute_scores(people):
+    """SCORED rows by a loop over pairs and phrases; people: (id, needs, offers, profile) in order of id."""
+    out = set()
+
+    def best(needs, offers):
+        found = [(round(float(n @ o), 9), -i, -j) for i, n in enumerate(needs) for j, o in enumerate(offers)]
+        return max(found) if found else (0.0, 1, 1)
+
+    for x, (a, an, ao, ap) in enumerate(people):
+        for b, bn, bo, bp in people[x + 1 :]:
+            f, g = best(an, bo), best(bn, ao)
+            hi, lo = max(f[0], g[0]), min(f[0], g[0])
+            score = round(0.6 * hi + 0.15 * lo + 0.1 * float(ap @ bp) + (0.15 if lo >= 0.62 else 0), 4)
+            if hi >= 0.68 and score >= 0.55:
+                (p, q, u, v) = (a, b, f, g) if f[0] >= g[0] else (b, a, g, f)
+                out.add((p, q, score, lo >= 0.62, -u[1], -u[2], -v[1], -v[2]))
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_scores_of_several_needs_and_offers(spark, block):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((4, 6))
+
+    def near():
+        v = base[rng.integers(4)] + 0.3 * rng.standard_normal(6)
+        return v / np.linalg.norm(v)
+
+    people = []
+    for i in range(23):
+        needs, offers = [near() for _ in range(rng.integers(0, 4))], [near() for _ in range(rng.integers(0, 4))]
+        people.append((f"p{i:02d}", needs + needs[:1], offers + offers[:1], near()))  # the first ones tie with the last
+    people[3] = ("p03", people[2][1], people[2][2], people[2][3])
+    rows = [(i, [v.tolist() for v in n], [v.tolist() for v in o] if k % 5 else None if not o else [v.tolist() for v in o], p.tolist()) for k, (i, n, o, p) in enumerate(people)]
+    got = matching.score_pairs(spark.createDataFrame(rows, "id string, needs array<array<double>>, offers array<array<double>>, profile array<double>"), block).collect()
+    want = brute_scores(people)
+    assert len(want) > 60 and {(r.a, r.b, r.score, r.reciprocal, r.need_i, r.offer_j, r.reverse_i, r.reverse_j) for r in got} == want and len(got) == len(want)
+
+
+def test_embedding_of_people(spark):
+    class Letters:
+        def embed(self, texts):
+            return texts.select("text", F.array(*(F.length(F.regexp_replace("text", f"[^{c}]", "")).cast("double") for c in "abc")).alias("vector"))
+
+    rows = spark.createDataFrame([("x", ["aa", " ", "b"], None), ("y", [], ["c", "aa"])], "id string, needs array<string>, offers array<string>")
+    profiles = spark.createDataFrame([("x", "ab"), ("y", "zzz")], "id string, profile string")
+    got = {r.id: r for r in matching.embed_people(rows, profiles, Letters()).collect()}
+    assert got["x"].needs == [[1, 0, 0], [0, 1, 0]] and got["x"].offers == [] and got["y"].offers == [[0, 0, 1], [1, 0, 0]]
+    assert got["x"].profile == pytest.approx([0.5**0.5, 0.5**0.5, 0]) and got["y"].profile == [0, 0, 0]  # nothing to normalize
+    stored = layers.embedding_rows(matching.embed_people(rows, profiles, Letters()), "letters", "t").collect()
+    assert {(r.person_id, r.kind, r.dim, r.model) for r in stored} == {("x", "profile", 3, "letters"), ("y", "profile", 3, "letters")}
+
+
 def test_suggestions_and_rejections(spark):
     e = lambda i: [1.0 if k == i else 0.0 for k in range(8)]
     rows = norm(spark, *[{"email": f"a{i}@x{i}.com", "company": c, "needs": ["n"], "offers": ["o"]} for i, c in enumerate(["One", "One", "Two", "Three", "Four"])])
@@ -250,3 +319,64 @@ def test_prompts(spark):
     person = people(spark, {"needs": ["x", "y"]}).select(F.struct("*").alias("r")).select(text.render_person("r").alias("t")).first().t
     assert "needs: x; y" in person and person.endswith("offers: (empty)")
     assert "persona" in text.field_spec()
+
+
+def test_numbers_without_a_global_window(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("v")).repartition(6)
+    assert {r.k: r.n for r in shared.numbered(rows, ["k"]).collect()} == {k: k for k in range(1000)}
+    assert shared.numbered(rows.limit(0), ["k"]).isEmpty()
+    table = shared.materialize(rows, "left")
+    assert table.count() == 1000 and shared.release(spark) >= 1 and shared.release(spark) == 0
+
+
+def test_group_metrics_count_pairs(spark):
+    members = spark.createDataFrame([(x, c) for c, ids in (("a", "abcd"), ("e", "ef")) for x in ids], "id string, cluster string")
+    truth = spark.createDataFrame([("a", "b"), ("e", "f"), ("d", "e")], "a string, b string")
+    row = evaluate.group_metrics(truth, members).first()
+    assert (row.tp, row.fp, row.fn, row.precision, row.recall) == (2, 5, 1, round(2 / 7, 4), round(2 / 3, 4))
+    listed = evaluate.cluster_pairs(members)
+    assert listed.count() == 7
+    same = evaluate.pair_metrics(truth, listed, truth.limit(0)).first()
+    assert (same.tp, same.fp, same.fn, same.f1) == (row.tp, row.fp, row.fn, row.f1)
+
+
+def test_answers_come_back(spark, tmp_path):
+    rows = [("k1", "p", "m", "enrichment_person", "1", '{"a": 1}', '{"person_id": "x", "persona": "ic", "confidence": 0.5}'), ("k2", "p", "m2", "other", "2", "{}", '{"q": "say \\"so\\""}')]
+    table = spark.createDataFrame(rows, layers.ANSWERS)
+    where = str(tmp_path / "cache")
+    layers.write_answers(table, where)
+    back = layers.read_answers(spark, where, lines=True)
+    assert sorted(tuple(r)[:7] for r in back.collect()) == rows
+    assert layers.harvest(back.filter("task = 'enrichment_person'")).first().person_id == "x"
+    assert {(r.task, r.entries) for r in layers.answer_stats(back).collect()} == {("enrichment_person", 1), ("other", 1)}
+    assert {r.model for r in layers.providers(back).collect()} == {"m", "m2"}
+    layers.write_report(back.select("key"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_applications_and_layers(spark, tmp_path):
+    old = spark.createDataFrame([("x", "a", "", "", None, "1"), ("y", "b", "", "", None, "1")], layers.APPLICATIONS)
+    new = spark.createDataFrame([("x", "c", "", "", "z", "2")], layers.APPLICATIONS)
+    assert {(r.person_id, r.building_now) for r in layers.load_applications(old, new).collect()} == {("x", "c"), ("y", "b")}
+    for df in (old, new):
+        layers.write_layer(df, str(tmp_path / "layer"))
+    assert spark.read.parquet(str(tmp_path / "layer")).count() == 1
+    people_ = spark.createDataFrame([("x", None), ("y", "x")], "id string, merged_into string")
+    assert [r.id for r in layers.canonical_people(people_).collect()] == ["x"]
+    runs = layers.append_run(spark.createDataFrame([], layers.RUNS), "dedupe", "t", 1, 2, 3, 4, {"x": 5})
+    assert layers.last_run(layers.append_run(runs, "dedupe", "u", 9, 0, 0, 0, {}), "dedupe").first().llm_calls == 9
+
+
+def test_adjudication_prompts(spark):
+    rows = norm(spark, {}, {"full_name": "P. Raghavan"}, {"full_name": "Priya R."})
+    pairs = cascade.attach(spark.createDataFrame([("p-0001", "p-0002", 90.0), ("p-0001", "p-0003", 80.0), ("p-0002", "p-0003", 79.5)], "a string, b string, score double"), rows)
+    got = {r.batch: r.prompt for r in cascade.prompts(pairs, "Decide.\n\n", 2).collect()}
+    assert sorted(got) == [0, 1] and got[0].startswith("Decide.\n\n  Pair 0 (fuzzy score 90.0)") and "\n\n  Pair 1 (fuzzy score 80.0)" in got[0] and "Pair 0 (fuzzy score 79.5)" in got[1]
+
+
+def test_windowed_counts_of_decisions(spark, tmp_path):
+    from kinloom.streaming import decisions as stream
+
+    rows = spark.createDataFrame([("x", "y", "merge", "2025-01-01 00:00:10"), ("x", "z", "merge", "2025-01-01 00:00:40"), ("x", "z", "keep_both", "2025-01-02 00:00:00")], "a string, b string, decision string, decided_at string")
+    out = stream.windowed_counts(rows.withColumn("decided_at", F.to_timestamp("decided_at")))
+    assert sorted(r[-1] for r in out.collect()) == [1, 2]

@@ -1,4 +1,4 @@
-"""Queries on whole tables against DuckDB without the filters of their twins."""
+"""Queries that compare whole tables: other blocks, planted quotes, and single checks against shared ones."""
 
 import duckdb
 import pytest
