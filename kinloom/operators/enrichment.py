@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,30 +55,64 @@ def verify_evidence(records: DataFrame, answers: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.when(F.col("total") == 0, 1.0).otherwise(F.col("verified") / F.col("total")))
 
 
-#: So many different quotes in one row of verify_shared, and so many at most that are broadcast.
-QUOTES, BROADCAST = 512, 100_000
+#: So many different quotes in one row of verify_shared; so many, and of so many characters in all, that are broadcast.
+QUOTES, BROADCAST, CHARACTERS = 512, 100_000, 1 << 20
 
 
-def verify_shared(records: DataFrame, evidence: DataFrame, block: int = QUOTES) -> DataFrame:
+def verify_shared(records: DataFrame, evidence: DataFrame, block: int = QUOTES, characters: int = CHARACTERS) -> DataFrame:
     """(person_id, total, verified) of one list of quotes, (field, quote) rows, against every record, by the rules of verify_evidence.
 
-    Equal quotes are checked once and counted each. Each text is folded once and meets the quotes in blocks, which are
-    broadcast up to BROADCAST different quotes and else dealt as a product. Without quotes there are no rows.
+    Equal quotes are checked once and counted each, and each text is folded once. Quotes of up to `characters` in all are
+    searched for together, in one pass over a text (an Aho-Corasick automaton a field in Arrow functions); beyond that
+    each text meets them in blocks, which are broadcast up to BROADCAST different quotes and else dealt as a product.
+    Without quotes there are no rows.
     """
     quote = F.coalesce(strip("quote"), F.lit(""))
     kinds = materialize(evidence.select("field", match_text(quote).alias("folded"), (F.length(quote) >= MIN_QUOTE).alias("long")).groupBy("field", "folded", "long").agg(F.count(F.lit(1)).alias("n")), "quotes")
-    different = kinds.count()
-    slot = F.pmod(F.xxhash64("folded"), F.lit(max(1, -(-different // block))))
+    texts = records.select(F.col("id").alias("person_id"), F.transform_values(source_text(), lambda _, t: F.when(t != "", match_text(t))).alias("texts"))
+    size = kinds.agg(F.count(F.lit(1)).alias("different"), F.coalesce(F.sum(F.length("folded")), F.lit(0)).alias("characters"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    if size.different and size.characters <= characters and size.different <= BROADCAST:
+        wanted = [(r.field, r.folded, r.n) for r in kinds.filter("long").collect() if r.field in CITABLE]
+        return _search(texts.select("person_id", *(F.element_at("texts", F.lit(f)).alias(f) for f in CITABLE)), wanted, size.total)
+    slot = F.pmod(F.xxhash64("folded"), F.lit(max(1, -(-size.different // block))))
     quotes = kinds.groupBy(slot.alias("slot")).agg(F.collect_list(F.struct("field", "folded", "long", "n")).alias("quotes")).select("quotes")
-    if different <= BROADCAST:
+    if size.different <= BROADCAST:
         quotes = F.broadcast(quotes)
-    texts = records.select(F.col("id").alias("person_id"), F.transform_values(source_text(), lambda _, t: F.when(t != "", match_text(t))).alias("texts"))
     found = lambda q: q["long"] & reduce(lambda a, f: a | ((q["field"] == f) & F.coalesce(F.element_at("texts", F.lit(f)).contains(q["folded"]), F.lit(False))), CITABLE, F.lit(False))
     count = lambda keep: F.aggregate("quotes", F.lit(0).cast("long"), lambda s, q: s + F.when(keep(q), q["n"]).otherwise(0))
     rows = texts.crossJoin(quotes).select("person_id", count(lambda q: F.lit(True)).alias("total"), count(found).alias("verified"))
     return rows.groupBy("person_id").agg(F.sum("total").alias("total"), F.sum("verified").alias("verified"))
 
 
+def _search(texts: DataFrame, wanted: list[tuple[str, str, int]], total: int) -> DataFrame:
+    """verify_shared's rows by automata; texts: person_id and a folded text a field."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    fields = [f for f in CITABLE if any(w[0] == f for w in wanted)]
+
+    def run(batches):
+        import ahocorasick
+
+        found = {}
+        for f in fields:
+            found[f] = ahocorasick.Automaton()
+            for i, (own, folded, _) in enumerate(shared.value):
+                if own == f and folded:
+                    found[f].add_word(folded, i)
+            if len(found[f]):
+                found[f].make_automaton()
+        blank = {f: sum(n for own, folded, n in shared.value if own == f and not folded) for f in fields}  # quotes that fold to nothing are in every text
+        for batch in batches:
+            sums = [0] * batch.num_rows
+            for f in fields:
+                for row, text in enumerate(batch.column(batch.schema.get_field_index(f))):
+                    if text.is_valid:
+                        seen = {i for _, i in found[f].iter(text.as_py())} if len(found[f]) else ()
+                        sums[row] += blank[f] + sum(shared.value[i][2] for i in seen)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([total] * len(sums), pa.int64()), pa.array(sums, pa.int64())], ["person_id", "total", "verified"])
+
+    return texts.select("person_id", *fields).mapInArrow(run, "person_id string, total long, verified long")
+
+
 def complete(records: DataFrame, answers: DataFrame) -> DataFrame:
     """One row a record: its answer, or an explicit unknown with confidence 0; low_confidence below the threshold."""
     rows = records.select(F.col("id").alias("person_id")).join(answers, "person_id", "left")

@@ -37,9 +37,9 @@ def test_shared_quotes_are_checked_as_single_ones(spark):
     null = F.lit(None).cast("string")
     rows = spark.createDataFrame([("a", "Café  owner in Rome", ["funds"]), ("b", None, []), ("c", "rome", None)], "id string, bio string, needs array<string>")
     rows = rows.select("id", "bio", "needs", *(null.alias(c) for c in ("full_name", "email", "linkedin_url", "company", "title", "location")), F.array().cast("array<string>").alias("offers"))
-    quotes = [("bio", "cafe owner"), ("bio", " Rome "), ("bio", "Rome"), ("bio", "in"), ("bio", None), ("needs", "funds"), ("nowhere", "Rome"), (None, "Rome")]
+    quotes = [("bio", "cafe owner"), ("bio", " Rome "), ("bio", "Rome"), ("bio", "in"), ("bio", None), ("bio", "日本語の話"), ("needs", "日本語の話"), ("bio", "e owner in"), ("bio", "owner in rome"), ("needs", "funds"), ("nowhere", "Rome"), (None, "Rome")]
     evidence = F.array(*(F.struct(F.lit(f).cast("string").alias("field"), F.lit(q).cast("string").alias("quote"), F.lit("persona").alias("supports")) for f, q in quotes))
     want = enrichment.verify_evidence(rows, rows.select(F.col("id").alias("person_id"), evidence.alias("evidence"))).select("person_id", "total", "verified").collect()
-    for block in (1, enrichment.QUOTES):
-        got = enrichment.verify_shared(rows, spark.createDataFrame(quotes, "field string, quote string"), block).collect()
+    for block, characters in ((1, 0), (enrichment.QUOTES, 0), (1, enrichment.CHARACTERS)):
+        got = enrichment.verify_shared(rows, spark.createDataFrame(quotes, "field string, quote string"), block, characters).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
