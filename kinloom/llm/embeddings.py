@@ -197,5 +197,15 @@ def links(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", ve
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def op9_sql() -> str:
+    """The query's rows in DuckDB: all pairs of a label."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+  s AS (SELECT *, sqrt(list_dot_product(v, v)) AS size, len(v) AS dim FROM v),
+  l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM s x JOIN s y ON x.label = y.label AND x.dim = y.dim AND x.vec_id != y.vec_id WHERE list_dot_product(x.v, y.v) / x.size / y.size >= {COSINE}),
+  reach AS (SELECT a AS id, a AS r FROM l UNION SELECT reach.id, l.b FROM reach JOIN l ON l.a = reach.r), c AS (SELECT id, min(r) AS r FROM reach GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.r, e.vec_id) AS component_id, coalesce(c.r, e.vec_id) = e.vec_id AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.id = e.vec_id"""
+
+
 def op9_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

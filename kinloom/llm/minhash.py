@@ -229,5 +229,17 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return ids.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op8_sql() -> str:
+    """The query's rows in DuckDB: all pairs that share a shingle, on full sets."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + {SHINGLE - 1}], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+  p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM sh x JOIN sh y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= {PERCENT} * (x.n + y.n - both_)),
+  u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a AS id, a AS r FROM u UNION SELECT reach.id, u.b FROM reach JOIN u ON u.a = reach.r), c AS (SELECT id, min(r) AS r FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.r, d.doc_id) AS component_id, coalesce(c.r, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id"""
+
+
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

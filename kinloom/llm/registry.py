@@ -22,4 +22,7 @@ QUERIES = {
 
 SQL = {
     "op1_sharding": sharding.op1_sql(),
+    "op6_substring_dedup": spans.op6_sql(),
+    "op8_minhash": minhash.op8_sql(),
+    "op9_embedding_dedup": embeddings.op9_sql(),
 }

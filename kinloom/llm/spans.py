@@ -209,5 +209,25 @@ def dedup(docs: DataFrame, carry: list[str], count: int = SENTENCES, min_words:
     return rows.mapInArrow(run, schema)
 
 
+def op6_sql() -> str:
+    """The query's rows in DuckDB; spans are compared as words, and only the order of hashed words is taken from the hash."""
+    space = r"[\x20\x09-\x0D]"
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{word}') AS w, regexp_extract_all(text, '{word}{space}*') AS parts, regexp_extract(text, '^{space}*') AS head FROM documents),
+  w AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(parts) AS part, generate_subscripts(w, 1) AS i FROM d),
+  m AS (SELECT *, min({{'h': md5_number_lower(word), 'i': i}}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS least FROM w),
+  e AS (SELECT doc_id, i FROM w WHERE i = n OR regexp_matches(word, '[.!?]$') UNION SELECT doc_id, least.i FROM m WHERE i <= greatest(n - {WINDOW - 1}, 1)),
+  s AS (SELECT doc_id, i AS stop, lag(i, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS start, lead(i, {SENTENCES - 1}) OVER (PARTITION BY doc_id ORDER BY i) AS least_stop FROM e),
+  f AS (SELECT s.doc_id, s.start, e.i AS stop FROM (SELECT *, greatest(least_stop, start + {MIN_WORDS}) AS least FROM s WHERE least_stop IS NOT NULL) s ASOF JOIN e ON s.doc_id = e.doc_id AND s.least <= e.i),
+  k AS (SELECT f.doc_id, start, stop, md5(array_to_string(w[start + 1 : stop], ' ')) AS key FROM f JOIN d USING (doc_id)),
+  r AS (SELECT doc_id, start, stop FROM (SELECT *, min({{'d': doc_id, 's': start}}) OVER (PARTITION BY key) AS first FROM k) WHERE first.d != doc_id OR first.s != start),
+  g AS (SELECT DISTINCT doc_id, unnest(range(start + 1, stop + 1)) AS i FROM r),
+  c AS (SELECT doc_id, count(*) AS n_removed_words, max(i) AS last FROM g GROUP BY doc_id), rs AS (SELECT doc_id, count(*) AS n FROM g JOIN e USING (doc_id, i) GROUP BY doc_id), ns AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+  left_ AS (SELECT doc_id, string_agg(part, '' ORDER BY i) AS text FROM w WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = w.doc_id AND g.i = w.i) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN c.doc_id IS NULL THEN d.text WHEN c.last = len(d.w) THEN regexp_replace(head || coalesce(left_.text, ''), '{space}+$', '') ELSE head || left_.text END AS text,
+  coalesce(ns.n, 0) AS n_sentences, coalesce(rs.n, 0) AS n_removed_sentences, coalesce(c.n_removed_words, 0) AS n_removed_words
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN rs ON rs.doc_id = d.doc_id LEFT JOIN ns ON ns.doc_id = d.doc_id LEFT JOIN left_ ON left_.doc_id = d.doc_id"""
+
+
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])

@@ -1,8 +1,11 @@
-"""64-bit hashes of words for use inside Arrow functions; the cache is bounded and affects speed only."""
+"""64-bit hashes of words (the lower half of MD5, which SQL engines have too) for use inside Arrow functions.
+
+The cache is bounded and affects speed only.
+"""
 
 from __future__ import annotations
 
-import xxhash
+from hashlib import md5
 
 MOST = 150_000
 
@@ -11,7 +14,7 @@ class Hashes(dict):
     """word (bytes) to its hash; a miss computes it."""
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
+        h = int.from_bytes(md5(word, usedforsecurity=False).digest()[8:], "little")
         if len(self) < MOST:
             self[word] = h
         return h
