@@ -10,7 +10,8 @@ candidates are stars: each member with STARS centres, the bucket's most popular
 members in all: of a group of near copies, the one most like the rest) and others drawn by a hash of the bucket; in
 buckets of up to ALL members everyone is a centre in turn. So a bucket gives a number of edges linear in its members,
 and two documents that could link meet a common centre, or each other, in about ten buckets. Members first meet one
-popular centre each; the other edges are confirmed only where their ends are still in different components, and dropped
+popular centre each, then the others; last, members of large buckets that are still apart from their bucket's most
+popular one meet each other member (finer()). Edges are confirmed only where their ends are in different components, and dropped
 unseen only where set sizes rule a link out, or where the sketches (a byte of each bin) agree less than a similarity of
 0.75 would make them by six standard deviations. All links are confirmed on full sets: 100 * common >= 75 * union.
 
@@ -35,8 +36,8 @@ from .words import HASHES
 
 SHINGLE, PERCENT = 5, 75
 BINS, ROWS = 128, 4
-STARS, ALL = 3, 8
-BROADCAST = 500_000
+STARS, ALL, OPEN, FINER = 3, 8, 64, 8
+BROADCAST, SETS = 500_000, 32 << 20
 AT_ONCE = 1000  # texts and sets in an Arrow batch
 PROBES = 96
 DEVIATIONS = 6
@@ -133,32 +134,58 @@ def plausible(edges: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def confirm(docs: DataFrame, edges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of the distinct edges (a, b), those whose sets are similar enough; as a table."""
-    ends = edges.select(F.col("a").alias("doc_id"), "b").unionByName(edges.select(F.col("b").alias("doc_id"), "b").distinct())
-    if ends.count() <= BROADCAST:
-        ends = F.broadcast(ends)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(ends, "doc_id").select("doc_id", "b", "text")
+    """Of the distinct edges (a, b), a table, those whose sets are similar enough; as a table.
 
-    def sets(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], ["doc_id", "b", "s"])
-
-    held = materialize(rows.mapInArrow(sets, "doc_id long, b long, s binary"), "sets")
-    pairs = hot_join(held.filter("doc_id != b").withColumnRenamed("doc_id", "a"), held.filter("doc_id = b").select("b", F.col("s").alias("t")), ["b"])
+    The sets of the documents involved are made once. Up to SETS bytes of them in all go to every worker; beyond that
+    they are joined to the edges by shuffles.
+    """
+    ends = edges.select(F.col("a").alias("doc_id")).unionByName(edges.select(F.col("b").alias("doc_id"))).distinct()
+    ends = materialize(ends, "ends")
+    few = F.broadcast(ends) if ends.count() <= BROADCAST else ends
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(few, "doc_id")
 
-    def compare(batches):
+    def sets(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(s) + len(t)
-                common = both - len(np.unique(np.concatenate([s, t]))) if 100 * min(len(s), len(t)) >= PERCENT * max(len(s), len(t)) else 0
-                ok.append(100 * common >= PERCENT * (both - common))
-            if any(ok):
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
-
-    links = materialize(pairs.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long").distinct(), "links")
-    drop_table(held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "s"])
+
+    held = materialize(rows.mapInArrow(sets, "doc_id long, s binary").distinct(), "sets")  # rows of one id with other texts have several
+    size = held.agg(F.coalesce(F.sum(F.octet_length("s") + 16), F.lit(0))).first()[0]
+
+    def alike(s: np.ndarray, t: np.ndarray) -> bool:
+        both = len(s) + len(t)
+        if 100 * min(len(s), len(t)) < PERCENT * max(len(s), len(t)):
+            return False
+        x = np.sort(np.concatenate([s, t]), kind="stable")
+        common = int((x[1:] == x[:-1]).sum())
+        return 100 * common >= PERCENT * (both - common)
+
+    if size <= SETS:
+        found = held.toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast(list(zip(found.column("doc_id").to_pylist(), found.column("s").to_pylist(), strict=True)))
+
+        def compare(batches):
+            known: dict[int, list] = {}
+            for i, s in shared.value:
+                known.setdefault(i, []).append(np.frombuffer(s, np.uint64))
+            for batch in batches:
+                ok = [any(alike(s, t) for s in known.get(a, ()) for t in known.get(b, ())) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield batch.filter(pa.array(ok, pa.bool_()))
+
+        links = materialize(edges.select("a", "b").mapInArrow(compare, "a long, b long").distinct(), "links")
+        shared.unpersist()
+    else:
+        half = materialize(hot_join(edges.select("a", "b"), held.select(F.col("doc_id").alias("a"), "s"), ["a"]), "half")
+        pairs = hot_join(half, held.select(F.col("doc_id").alias("b"), F.col("s").alias("t")), ["b"])
+
+        def compare(batches):
+            for batch in batches:
+                ok = [alike(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        links = materialize(pairs.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long").distinct(), "links")
+        drop_table(half)
+    for table in (ends, held):
+        drop_table(table)
     return links
 
 
@@ -192,6 +219,74 @@ def pair(x, y):
     return F.greatest(x, y).alias("a"), F.least(x, y).alias("b")
 
 
+def labelled(rows: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
+    """rows with the component (out) of the node in col."""
+    return rows.join(labels.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
+
+
+def one_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between the classes that rows of one id belong to; as a table."""
+    key = ["n_shingles", "k1", "k2"]
+    several = sets.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y")).filter("x != y").select("doc_id")
+    several = materialize(several, "several")
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    mine = sets.join(several, "doc_id", "left_semi").select("doc_id", *key).distinct().join(classes.select("rep", *key), key).groupBy("doc_id", "rep").agg(F.lit(1)).select("doc_id", "rep")
+    mine = materialize(mine, "mine")
+    least = mine.groupBy("doc_id").agg(F.min("rep").alias("least"))
+    return materialize(mine.join(least, "doc_id").filter("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "one-id")
+
+
+def widened(docs: DataFrame, classes: DataFrame, edges: DataFrame, links: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) after confirming those of a table of edges that are plausible; the table goes."""
+    likely = materialize(plausible(edges, classes), "likely")
+    drop_table(edges)
+    if not likely.isEmpty():
+        new = confirm(docs, likely, id_col, text_col)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = connected_components(links)
+    drop_table(likely)
+    return links, labels
+
+
+def finer(held: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) between members of large buckets that the stars left apart; as a table.
+
+    A member is open if its component isn't that of its bucket's most popular member. In a bucket of up to OPEN open
+    members these meet everyone of another component, so that no pair of the bucket stays untried: at most OPEN edges a
+    member. Other buckets are dealt out again by a second band each, FINER of them; there every component is represented
+    by one member, an open one if there is any, drawn by a hash (so a group of copies comes to one row before any
+    exchange), and the representatives form stars as before, of all if they are up to ALL and else of STARS drawn ones.
+    """
+    large = materialize(labelled(held.filter(F.col("size") > ALL).select("key", "rep", "n"), labels, "rep", "comp"), "large")
+    first = held.filter(F.col("size") > ALL).groupBy("key").agg(F.first(F.col("centers")[0]["c"]).alias("c"))
+    tops = materialize(labelled(first, labels, "c", "top").select("key", "top"), "tops")
+    known = materialize(hot_join(large, tops, ["key"]).select("key", "rep", "n", "comp", (F.col("comp") != F.col("top")).alias("open")), "known")
+    counts = materialize(known.filter("open").groupBy("key").agg(F.count(F.lit(1)).alias("u")), "open")
+    rows = materialize(hot_join(known, counts, ["key"]), "rows")
+    # few open members: all of them against all
+    few = rows.filter(F.col("open") & (F.col("u") <= OPEN)).groupBy("key").agg(F.collect_list(F.struct(F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"))).alias("centers"))
+    met = hot_join(rows.filter(F.col("u") <= OPEN), materialize(few, "few"), ["key"]).select("rep", "n", "comp", F.explode("centers").alias("x")).filter(F.col("comp") != F.col("x.cc")).filter(near("n", "x.cn"))
+    # many: by the bands after this one, in a ring; a key is one of its member's bands
+    at = F.array_position("bands", F.col("key")).cast("int") - 1
+    count = BINS // ROWS
+    subs = rows.filter(F.col("u") > OPEN).join(classes.select("rep", "bands"), "rep").select("rep", "n", "comp", "open", F.explode(F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda k: F.xxhash64(F.col("key"), F.get("bands", (at + k) % count)))).alias("sub"))
+    who = F.struct(F.col("rep").alias("c"), F.col("n").alias("cn"), "open")
+    one = materialize(subs.groupBy("sub", "comp").agg(F.min_by(who, F.struct((~F.col("open")).alias("late"), F.xxhash64("rep", "sub"))).alias("w")).select("sub", "w.*"), "finer")
+    sizes = materialize(one.groupBy("sub").agg(F.count(F.lit(1)).alias("size"), F.max("open").alias("any")).filter("size > 1 AND any").select("sub", "size"), "sizes")
+    good = materialize(hot_join(one, sizes, ["sub"]), "good")
+    drawn = [F.min_by(F.struct("c", "cn", "open"), F.xxhash64("c", "sub", F.lit(i))).alias(f"r{i}") for i in range(STARS)]
+    several = good.filter(F.col("size") > ALL).groupBy("sub").agg(*drawn).select("sub", F.array(*(f"r{i}" for i in range(STARS))).alias("centers"))
+    all_ = good.filter(F.col("size") <= ALL).groupBy("sub").agg(F.collect_list(F.struct("c", "cn", "open")).alias("centers"))
+    star = hot_join(good, materialize(several.unionByName(all_), "spokes"), ["sub"]).select("c", "cn", "open", F.explode("centers").alias("x")).filter(F.col("c") != F.col("x.c")).filter(F.col("open") | F.col("x.open")).filter(near("cn", "x.cn"))
+    edges = met.select(*pair(F.col("rep"), F.col("x.c"))).unionByName(star.select(*pair(F.col("c"), F.col("x.c"))))
+    out = materialize(edges.distinct(), "edges")
+    for table in (large, tops, known, counts, rows, one, sizes, good):
+        drop_table(table)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; see the module."""
     with arrow_rows(docs.sparkSession, AT_ONCE):
@@ -204,24 +299,19 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = materialize(sets.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     held = buckets(classes.select("rep", "n_shingles", "bands"))
 
-    def labelled(rows: DataFrame, labels: DataFrame, col: str, out: str) -> DataFrame:
-        return rows.join(labels.select(F.col("node").alias(col), F.col("component").alias(out)), col, "left").withColumn(out, F.coalesce(out, col))
-
     # each member with one popular centre, that of its largest bucket
     first = F.col("centers")[0]
     firsts = held.select("rep", "n", "size", first["c"].alias("c"), first["cn"].alias("cn")).filter("rep != c").filter(near("n", "cn"))
     tried = materialize(firsts.groupBy("rep").agg(F.max(F.struct("size", "c")).alias("x")).select(F.col("rep").alias("a"), F.col("x.c").alias("b")), "tried")
-    links = confirm(docs, tried, id_col, text_col)
+    links = confirm(docs, tried, id_col, text_col).unionByName(one_id(sets, classes))
     labels = connected_components(links)
     # all other edges of the stars whose ends are still apart
     stars = held.select("rep", "n", F.explode("centers").alias("x")).select("rep", "n", "x.c", "x.cn").filter("rep != c").filter(near("n", "cn"))
     apart = labelled(labelled(stars.select(*pair(F.col("rep"), F.col("c"))).distinct(), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b")
-    rest = materialize(apart.join(tried.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti"), "rest")
-    rest = materialize(plausible(rest, classes), "rest")
-    if not rest.isEmpty():
-        new = confirm(docs, rest, id_col, text_col)
-        if not new.isEmpty():
-            labels = connected_components(links.unionByName(new))
+    first = materialize(apart.join(tried.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti"), "rest")
+    links, labels = widened(docs, classes, first, links, labels, id_col, text_col)
+    links, labels = widened(docs, classes, materialize(finer(held, classes, labels), "rest"), links, labels, id_col, text_col)
+    drop_table(held)
     tops = materialize(labelled(classes.select("n_shingles", "k1", "k2", "rep"), labels, "rep", "component_id"), "tops")
     ids = hot_join(sets.select("doc_id", "n_shingles", "k1", "k2"), tops.select("n_shingles", "k1", "k2", "component_id"), ["n_shingles", "k1", "k2"])
     ids = ids.select("doc_id", "n_shingles", "component_id")

@@ -462,6 +462,42 @@ def test_near_duplicates(spark):
     assert all(x.n_shingles == len(sets[i]) and x.kept == (x.component_id == i) for i, x in got.items())
 
 
+@pytest.mark.parametrize("sets", [minhash.SETS, 0])
+def test_links_that_no_centre_has(spark, monkeypatch, sets):
+    """Groups around a common passage: most buckets are large, and few members are near their bucket's centres."""
+    monkeypatch.setattr(minhash, "SETS", sets)
+    r = random.Random(21)
+    passage = make_words(r, 90)
+    docs = []
+    for g in range(60):
+        own = make_words(r, 24)
+        for c in range(3):
+            w = passage + own
+            for _ in range(2 + 2 * c):
+                w = list(w)
+                w[r.randrange(len(w))] = "".join(make_words(r, 1))
+            docs.append((10 * g + c, " ".join(w)))
+    docs += [(5000, docs[0][1]), (5000, docs[30][1])]  # one id with two texts
+    sets_ = [(i, {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for i, t in docs]
+    up = {i: i for i, _ in docs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, (i, s) in enumerate(sets_):
+        for j, t in sets_[:k]:
+            if find(i) != find(j) and 100 * len(s & t) >= 75 * len(s | t):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, docs)).collect()}
+    assert got == {i: find(i) for i in up} and len({*got.values()}) > 3
+    monkeypatch.setattr(minhash, "OPEN", 2)  # all large buckets are dealt out again
+    again = {x.doc_id: x.component_id for x in minhash.near_duplicates(frame(spark, docs)).collect()}
+    assert sum(again[i] == got[i] for i in got) >= 0.97 * len(got)
+
+
 def test_near_duplicate_cases(spark):
     out = minhash.near_duplicates(frame(spark, ODD)).collect()
     assert len(out) == len(ODD)
