@@ -10,8 +10,7 @@ candidates are stars: each member with STARS centres, the bucket's most popular
 members in all: of a group of near copies, the one most like the rest) and others drawn by a hash of the bucket; in
 buckets of up to ALL members everyone is a centre in turn. So a bucket gives a number of edges linear in its members,
 and two documents that could link meet a common centre, or each other, in about ten buckets. Members first meet one
-popular centre each, then the others; last, members of large buckets that are still apart from their bucket's most
-popular one meet each other member (finer()). Edges are confirmed only where their ends are in different components, and dropped
+popular centre each; the other edges are confirmed only where their ends are still in different components, and dropped
 unseen only where set sizes rule a link out, or where the sketches (a byte of each bin) agree less than a similarity of
 0.75 would make them by six standard deviations. All links are confirmed on full sets: 100 * common >= 75 * union.
 
@@ -36,7 +35,7 @@ from .words import HASHES
 
 SHINGLE, PERCENT = 5, 75
 BINS, ROWS = 128, 4
-STARS, ALL, OPEN, FINER = 3, 8, 64, 8
+STARS, ALL = 3, 8
 BROADCAST, SETS = 500_000, 32 << 20
 AT_ONCE = 1000  # texts and sets in an Arrow batch
 PROBES = 96
@@ -250,43 +249,6 @@ def widened(docs: DataFrame, classes: DataFrame, edges: DataFrame, links: DataFr
     return links, labels
 
 
-def finer(held: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges (a, b) between members of large buckets that the stars left apart; as a table.
-
-    A member is open if its component isn't that of its bucket's most popular member. In a bucket of up to OPEN open
-    members these meet everyone of another component, so that no pair of the bucket stays untried: at most OPEN edges a
-    member. Other buckets are dealt out again by a second band each, FINER of them; there every component is represented
-    by one member, an open one if there is any, drawn by a hash (so a group of copies comes to one row before any
-    exchange), and the representatives form stars as before, of all if they are up to ALL and else of STARS drawn ones.
-    """
-    large = materialize(labelled(held.filter(F.col("size") > ALL).select("key", "rep", "n"), labels, "rep", "comp"), "large")
-    first = held.filter(F.col("size") > ALL).groupBy("key").agg(F.first(F.col("centers")[0]["c"]).alias("c"))
-    tops = materialize(labelled(first, labels, "c", "top").select("key", "top"), "tops")
-    known = materialize(hot_join(large, tops, ["key"]).select("key", "rep", "n", "comp", (F.col("comp") != F.col("top")).alias("open")), "known")
-    counts = materialize(known.filter("open").groupBy("key").agg(F.count(F.lit(1)).alias("u")), "open")
-    rows = materialize(hot_join(known, counts, ["key"]), "rows")
-    # few open members: all of them against all
-    few = rows.filter(F.col("open") & (F.col("u") <= OPEN)).groupBy("key").agg(F.collect_list(F.struct(F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("comp").alias("cc"))).alias("centers"))
-    met = hot_join(rows.filter(F.col("u") <= OPEN), materialize(few, "few"), ["key"]).select("rep", "n", "comp", F.explode("centers").alias("x")).filter(F.col("comp") != F.col("x.cc")).filter(near("n", "x.cn"))
-    # many: by the bands after this one, in a ring; a key is one of its member's bands
-    at = F.array_position("bands", F.col("key")).cast("int") - 1
-    count = BINS // ROWS
-    subs = rows.filter(F.col("u") > OPEN).join(classes.select("rep", "bands"), "rep").select("rep", "n", "comp", "open", F.explode(F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda k: F.xxhash64(F.col("key"), F.get("bands", (at + k) % count)))).alias("sub"))
-    who = F.struct(F.col("rep").alias("c"), F.col("n").alias("cn"), "open")
-    one = materialize(subs.groupBy("sub", "comp").agg(F.min_by(who, F.struct((~F.col("open")).alias("late"), F.xxhash64("rep", "sub"))).alias("w")).select("sub", "w.*"), "finer")
-    sizes = materialize(one.groupBy("sub").agg(F.count(F.lit(1)).alias("size"), F.max("open").alias("any")).filter("size > 1 AND any").select("sub", "size"), "sizes")
-    good = materialize(hot_join(one, sizes, ["sub"]), "good")
-    drawn = [F.min_by(F.struct("c", "cn", "open"), F.xxhash64("c", "sub", F.lit(i))).alias(f"r{i}") for i in range(STARS)]
-    several = good.filter(F.col("size") > ALL).groupBy("sub").agg(*drawn).select("sub", F.array(*(f"r{i}" for i in range(STARS))).alias("centers"))
-    all_ = good.filter(F.col("size") <= ALL).groupBy("sub").agg(F.collect_list(F.struct("c", "cn", "open")).alias("centers"))
-    star = hot_join(good, materialize(several.unionByName(all_), "spokes"), ["sub"]).select("c", "cn", "open", F.explode("centers").alias("x")).filter(F.col("c") != F.col("x.c")).filter(F.col("open") | F.col("x.open")).filter(near("cn", "x.cn"))
-    edges = met.select(*pair(F.col("rep"), F.col("x.c"))).unionByName(star.select(*pair(F.col("c"), F.col("x.c"))))
-    out = materialize(edges.distinct(), "edges")
-    for table in (large, tops, known, counts, rows, one, sizes, good):
-        drop_table(table)
-    return out
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; see the module."""
     with arrow_rows(docs.sparkSession, AT_ONCE):
@@ -309,8 +271,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stars = held.select("rep", "n", F.explode("centers").alias("x")).select("rep", "n", "x.c", "x.cn").filter("rep != c").filter(near("n", "cn"))
     apart = labelled(labelled(stars.select(*pair(F.col("rep"), F.col("c"))).distinct(), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b")
     first = materialize(apart.join(tried.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti"), "rest")
-    links, labels = widened(docs, classes, first, links, labels, id_col, text_col)
-    links, labels = widened(docs, classes, materialize(finer(held, classes, labels), "rest"), links, labels, id_col, text_col)
+    _, labels = widened(docs, classes, first, links, labels, id_col, text_col)
     drop_table(held)
     tops = materialize(labelled(classes.select("n_shingles", "k1", "k2", "rep"), labels, "rep", "component_id"), "tops")
     ids = hot_join(sets.select("doc_id", "n_shingles", "k1", "k2"), tops.select("n_shingles", "k1", "k2", "component_id"), ["n_shingles", "k1", "k2"])
