@@ -10,7 +10,9 @@ precision. Each task returns link counts and a spanning forest of its links, nev
 
 Equal vectors of a label are one class first, counted with its copies. Defined cases: vectors that are null, empty,
 zero or hold null or non-finite components, or whose label or id is null, link with nothing (n_links 0, their own
-component, kept). Vectors of unlike lengths never link. An empty table gives no rows. Other columns are not read.
+component, kept). Vectors of unlike lengths never link. A cosine of exactly COSINE links. Rows that share a vec_id are
+vectors of their own, each counted and returned; equal ones of them link. An empty table gives no rows. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations

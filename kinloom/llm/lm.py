@@ -15,8 +15,10 @@ counts, which are what the loss depends on, and go through Adagrad in mini-batch
 by the number of tokens behind each, so the result depends on how rows are dealt, within the spread of such training.
 Ids, counts and triples come from all rows; the driver holds one set of parameters, whose size is the vocabulary's.
 
-Defined cases. A null or empty text has n_tokens 0, sum 0 and a null mean. Repeated rows count each time. An empty
-table gives no rows. Other columns are not read.
+Defined cases. A null or empty text has n_tokens 0, sum 0 and a null mean. A null id stays null. Repeated rows, and rows
+that share an id, count each time and are scored one by one. Texts are trained on and scored whole, however long. Ids of
+equal frequency are ordered by their number. An empty table gives no rows. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -19,8 +19,9 @@ components are found by contraction over tables. The ends of the edges being con
 the documents only up to BROADCAST rows, and beyond that joined by a shuffle.
 
 Defined cases. Null or empty texts and texts without words have an empty set, no links and are kept. A null id has no
-component and is kept. Rows that share an id are one node. Very long texts are read whole. An empty table gives no
-rows. Other columns are not read.
+component and is kept. Rows that share an id are one node: what one of their texts links to belongs to all. Equally
+popular members of a bucket are ordered by id, and a similarity of exactly 0.75 links. Very long texts are read whole. An
+empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ computable without a table: place() and number() below.
 
 Defined cases. A null text has no bytes (size 1, checksum 0). Rows with a null id sort first. Rows equal in id, size
 and checksum are interchangeable: they are counted together before the shuffle and dealt out again in runs, so a third
-of all rows may be the same. An empty table gives an empty result. Other columns of the input are not read.
+of all rows may be the same. A text of any length is measured whole. An empty table gives an empty result. Other
+columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations

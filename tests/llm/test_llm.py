@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import unicodedata
@@ -537,6 +538,14 @@ def test_embeddings(spark):
     assert embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).isEmpty()
 
 
+def test_vectors_that_repeat(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.999, 0.01], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2), (None, [1.0, 0.0], 1), (5, [1.0, math.sqrt(1 / 0.98**2 - 1)], 3), (6, [1.0, 0.0], 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("x") for c in ("h1", "v", "dim", "block", "rep", "copies", "c0", "fine", "kept", "i", "j")})
+    got = sorted((x.vec_id or 0, x.n_links, x.component_id, x.kept) for x in embeddings.links(df).collect())
+    assert [g for g in got if g[0] in (1, 2, 3, 4)] == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+    assert (0, 0, None, True) in got and len(got) == len(rows)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
