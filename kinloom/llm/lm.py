@@ -35,7 +35,7 @@ VOCAB, HIDDEN = 50_257, 32
 END, SIDE = VOCAB, VOCAB + 1
 EDGES = np.array([*range(0, 2048, 64), *range(2048, VOCAB, 1024), VOCAB])
 GROUPS = len(EDGES) - 1
-FLUSH, BATCH, RATE, PASSES, DEALT = 1 << 22, 8192, 0.1, 1, 64
+FLUSH, BATCH, RATE, PASSES, DEALT = 1 << 22, 8192, 0.1, 1, 1024
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
