@@ -10,13 +10,17 @@ candidates are stars: each member with STARS centres, the bucket's most popular
 members in all: of a group of near copies, the one most like the rest) and others drawn by a hash of the bucket; in
 buckets of up to ALL members everyone is a centre in turn. So a bucket gives a number of edges linear in its members,
 and two documents that could link meet a common centre, or each other, in about ten buckets. Members first meet one
-popular centre each; the other edges are confirmed only where their ends are still in different components, and dropped
-unseen only where set sizes rule a link out, or where the sketches (a byte of each bin) agree less than a similarity of
-0.75 would make them by six standard deviations. All links are confirmed on full sets: 100 * common >= 75 * union.
+popular centre each, then the others; last, in large buckets that still hold several components, the members outside of
+the bucket's main component meet all members of others (untried()), so that no pair of a bucket stays unseen. Edges are
+confirmed only where their ends are still in different components, and dropped unseen only where set sizes rule a link
+out, or where the sketches (a byte of each bin) agree less than a similarity of 0.75 would make them by six standard
+deviations. All links are confirmed on full sets: 100 * common >= 75 * union.
 
 Skew: copies collapse in a pre-aggregation; joins on a bucket, a class or a centre treat hot keys apart (hot_join);
 components are found by contraction over tables. The ends of the edges being confirmed are broadcast to the scan of
-the documents only up to BROADCAST rows, and beyond that joined by a shuffle.
+the documents only up to BROADCAST rows, and beyond that joined by a shuffle. The last step compares sketches, in blocks
+of about MEET members, and puts out plausible pairs alone; its work in a bucket is the number of outside members times
+that of all, so it is small where the stars have joined most and quadratic only in members that link with no centre.
 
 Defined cases. Null or empty texts and texts without words have an empty set, no links and are kept. A null id has no
 component and is kept. Rows that share an id are one node: what one of their texts links to belongs to all. Equally
@@ -36,7 +40,7 @@ from .words import HASHES
 
 SHINGLE, PERCENT = 5, 75
 BINS, ROWS = 128, 4
-STARS, ALL = 3, 8
+STARS, ALL, MEET = 3, 8, 512
 BROADCAST, SETS = 500_000, 32 << 20
 AT_ONCE = 1000  # texts and sets in an Arrow batch
 PROBES = 96
@@ -117,15 +121,24 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
+def sketches(column) -> np.ndarray:
+    """A row of bytes for each sketch."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def agree(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sketches agree in at least the share that a similarity of 0.75 gives, less DEVIATIONS deviations; n: the lesser set's size."""
+    full = BINS * (1 - np.exp(-n / BINS))
+    return (x == y).mean(1) >= PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / full)
+
+
 def plausible(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """The edges whose sketches agree in at least the share that a similarity of 0.75 gives, less DEVIATIONS deviations."""
+    """The edges whose sketches agree."""
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (3, 4))
-            full = BINS * (1 - np.exp(-batch.column(2).to_numpy(zero_copy_only=False) / BINS))
-            least = PERCENT / 100 - DEVIATIONS * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / full)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
+            ok = agree(sketches(batch.column(3)), sketches(batch.column(4)), batch.column(2).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
 
     a = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("x"))
     b = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("m"), F.col("sketch").alias("y"))
@@ -237,17 +250,137 @@ def one_id(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(mine.join(least, "doc_id").filter("rep != least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct(), "one-id")
 
 
-def widened(docs: DataFrame, classes: DataFrame, edges: DataFrame, links: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(links, labels) after confirming those of a table of edges that are plausible; the table goes."""
-    likely = materialize(plausible(edges, classes), "likely")
-    drop_table(edges)
-    if not likely.isEmpty():
-        new = confirm(docs, likely, id_col, text_col)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = connected_components(links)
-    drop_table(likely)
-    return links, labels
+class Outside:
+    """Members (rep, n, comp, sketch) outside of their bucket's main component, by bucket key."""
+
+    def __init__(self, rows: pa.Table):
+        rep, keys = rows.column("rep").to_numpy(), rows.column("key").to_numpy()
+        self.rep, first, at = np.unique(rep, return_index=True, return_inverse=True)
+        self.n, self.comp = (rows.column(c).to_numpy()[first] for c in ("n", "comp"))
+        self.sketch = sketches(rows.column("sketch").take(pa.array(first)))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order]
+
+    def meet(self, rep: int, n: int, comp: int, keys: np.ndarray, sketch: bytes) -> np.ndarray:
+        """The members of other components in these buckets that a member plausibly links with."""
+        spans = zip(np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right"), strict=True)
+        at = np.unique(np.concatenate([self.at[i:j] for i, j in spans]))
+        m = self.n[at]
+        least = np.minimum(m, n)
+        ok = (self.comp[at] != comp) & (100 * least >= PERCENT * np.maximum(m, n))
+        at, least = at[ok], least[ok]
+        return self.rep[at[agree(self.sketch[at], np.frombuffer(sketch, np.uint8), least)]]
+
+
+def untried(docs: DataFrame, held: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between members of large buckets that are in different components; as a table.
+
+    A bucket's main component is the one with most of its members; the members outside meet all others. If those outside
+    and their sets are at most SETS bytes, they go to every worker, which scans the classes once: a member comes out with
+    the list of those it plausibly links with, and its set is compared with theirs; one link to each component is enough.
+    Beyond that, blocks of about MEET members meet by shuffles, and the plausible pairs are confirmed like other edges.
+    """
+    large = held.filter(F.col("size") > ALL).select("rep").distinct()
+    known = labelled(classes.select("rep", F.col("n_shingles").alias("n"), "bands", "sketch").join(large, "rep", "left_semi"), labels, "rep", "comp")
+    known = materialize(known.select("rep", "n", "comp", "bands", "sketch"), "known")
+    parts = known.select("comp", F.explode("bands").alias("key")).groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    tops = parts.groupBy("key").agg(F.max_by("comp", F.struct("m", -F.col("comp"))).alias("main"), F.sum("m").alias("size"), (F.sum("m") - F.max("m")).alias("outside"))
+    tops = materialize(tops.filter((F.col("size") > ALL) & (F.col("outside") > 0)), "main")
+    whole = known.select("rep", "n", "comp", "sketch", F.explode("bands").alias("key"))
+    cols = ["key", "rep", "n", "comp", "sketch"]
+    outside = materialize(hot_join(whole, tops, ["key"]).filter("comp != main").select(*cols, "size", "outside"), "outside")
+    sizes = outside.groupBy("rep").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).agg(F.sum(F.col("m") * (BINS + 64) + 8 * F.col("n"))).first()[0]
+    if not sizes:
+        links = materialize(known.select(F.col("rep").alias("a"), F.col("comp").alias("b")).limit(0), "links")
+    elif sizes <= SETS:
+        spark = docs.sparkSession
+        shared = spark.sparkContext.broadcast(outside.select(*cols).toArrow())
+
+        def run(batches):
+            out = Outside(shared.value)
+            for batch in batches:
+                keys = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, BINS // ROWS)
+                among = np.isin(keys, out.keys)
+                rep, others = [], []
+                for i in np.flatnonzero(among.any(1)).tolist():
+                    met = out.meet(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), keys[i][among[i]], batch.column(4)[i].as_py())
+                    if len(met):
+                        rep.append(batch.column(0)[i].as_py())
+                        others.append(met)
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(others, pa.list_(pa.int64()))], ["rep", "others"])
+
+        met = materialize(known.mapInArrow(run, "rep long, others array<long>"), "met")
+        rows = docs.select(docs[id_col].cast("long").alias("rep"), docs[text_col].alias("text"))
+
+        def sets(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary()), batch.column(2)], ["rep", "s", "comp"])
+
+        theirs = outside.select("rep", "comp").distinct()  # at most SETS bytes
+        found = rows.join(F.broadcast(theirs), "rep").select("rep", "text", "comp").mapInArrow(sets, "rep long, s binary, comp long").distinct().toArrow()
+        with_sets = spark.sparkContext.broadcast(found)
+        few = rows.join(F.broadcast(met.select("rep")), "rep", "left_semi") if met.count() <= BROADCAST else rows
+
+        def compare(batches):
+            held_ = with_sets.value
+            ids, comps = held_.column("rep").to_numpy(), held_.column("comp").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, comps = ids[order], comps[order]
+            values = [np.frombuffer(held_.column("s")[i].as_py(), np.uint64) for i in order.tolist()]
+            for batch in batches:
+                a, b = [], []
+                for rep, text, others in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    s, o = shingles(text.as_py()), others.values.to_numpy()
+                    at = np.concatenate([np.arange(i, j) for i, j in zip(np.searchsorted(ids, o), np.searchsorted(ids, o, "right"), strict=True)])
+                    sizes = np.array([len(values[i]) for i in at.tolist()])
+                    at, sizes = at[sizes > 0], sizes[sizes > 0]
+                    if not len(at) or not len(s):
+                        continue
+                    flat = np.concatenate([values[i] for i in at.tolist()])
+                    same = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+                    common = np.add.reduceat(same.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+                    at = at[100 * common >= PERCENT * (len(s) + sizes - common)]
+                    one = ids[at[np.unique(comps[at], return_index=True)[1]]]
+                    a.extend(np.maximum(one, rep).tolist())
+                    b.extend(np.minimum(one, rep).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        links = materialize(few.join(met, "rep").select("rep", "text", "others").mapInArrow(compare, "a long, b long").distinct(), "links")
+        shared.unpersist()
+        with_sets.unpersist()
+        drop_table(met)
+    else:
+        blocks = lambda c: F.ceil(F.col(c) / MEET).cast("int")
+        mine = lambda c: F.pmod(F.xxhash64("rep"), blocks(c)).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+        left = outside.select(*cols, mine("outside").alias("i"), each("size").alias("j"))
+        right = hot_join(whole, tops, ["key"]).select(*cols, mine("size").alias("j"), each("outside").alias("i"))
+
+        def both(x: pa.Table, y: pa.Table) -> pa.Table:
+            a, b = [], []
+            if x.num_rows:
+                out = Outside(x)
+                for r in y.to_pylist():
+                    met = out.meet(r["rep"], r["n"], r["comp"], np.array([r["key"]]), r["sketch"])
+                    a.extend(np.maximum(met, r["rep"]).tolist())
+                    b.extend(np.minimum(met, r["rep"]).tolist())
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        met = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(both, "a long, b long")
+        edges = materialize(met.distinct(), "edges")
+        links = confirm(docs, edges, id_col, text_col)
+        drop_table(edges)
+    for table in (known, tops, outside):
+        drop_table(table)
+    return links
+
+
+def widened(links: DataFrame, labels: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) with a table of new links."""
+    if new.isEmpty():
+        return links, labels
+    links = links.unionByName(new)
+    return links, connected_components(links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +405,13 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     stars = held.select("rep", "n", F.explode("centers").alias("x")).select("rep", "n", "x.c", "x.cn").filter("rep != c").filter(near("n", "cn"))
     apart = labelled(labelled(stars.select(*pair(F.col("rep"), F.col("c"))).distinct(), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b")
     first = materialize(apart.join(tried.select(*pair(F.col("a"), F.col("b"))), ["a", "b"], "left_anti"), "rest")
-    _, labels = widened(docs, classes, first, links, labels, id_col, text_col)
+    likely = materialize(plausible(first, classes), "likely")
+    drop_table(first)
+    if not likely.isEmpty():
+        links, labels = widened(links, labels, confirm(docs, likely, id_col, text_col))
+    drop_table(likely)
+    # and the pairs of large buckets that no star has
+    _, labels = widened(links, labels, untried(docs, held, classes, labels, id_col, text_col))
     drop_table(held)
     tops = materialize(labelled(classes.select("n_shingles", "k1", "k2", "rep"), labels, "rep", "component_id"), "tops")
     ids = hot_join(sets.select("doc_id", "n_shingles", "k1", "k2"), tops.select("n_shingles", "k1", "k2", "component_id"), ["n_shingles", "k1", "k2"])
