@@ -671,7 +671,7 @@ def applicants_ranked(spark, sf_dir):
 FROM folk LEFT JOIN sb ON person_id = id WHERE merged_into IS NULL AND contains(lower(concat_ws(' ', coalesce(trim(full_name), ''), coalesce(company, ''), coalesce(title, ''), coalesce(email, ''), coalesce(location, ''))), 'labs inc')
   AND CAST(substr(id, 3) AS BIGINT) % 4 != 0 AND CAST(substr(id, 3) AS BIGINT) % 3 = 0""")
 def people_search(spark, sf_dir):
-    return reports.search(state_of(spark, sf_dir), q=" Labs INC ", persona="founder").select("id", "full_name", "persona", "total")
+    return reports.search(state_of(spark, sf_dir), q=" Labs INC ", persona="founder", limit=None).select("id", "full_name", "persona", "total")
 
 
 @query(f"""{STATE_SQL}, f AS (SELECT id, full_name, band FROM folk JOIN sb ON person_id = id WHERE merged_into IS NULL AND band = 'review' AND (blocked_reason IS NOT NULL OR score < 1))

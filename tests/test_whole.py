@@ -43,3 +43,14 @@ def test_shared_quotes_are_checked_as_single_ones(spark):
     for block, characters in ((1, 0), (enrichment.QUOTES, 0), (1, enrichment.CHARACTERS)):
         got = enrichment.verify_shared(rows, spark.createDataFrame(quotes, "field string, quote string"), block, characters).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_people_search_returns_all_it_finds(spark, tmp_path):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW customer AS SELECT * FROM '/root/testdata/sf0.1/customer.parquet' WHERE c_custkey % 12 IN (6, 7)")
+    con.sql(f"CREATE VIEW nation AS SELECT * FROM '{SF}/nation.parquet'")
+    for t in ("customer", "nation"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    want = con.sql(catalog.SQL["people_search"]).fetchall()
+    got = catalog.QUERIES["people_search"](spark, str(tmp_path)).select("id", "full_name", "persona", "total").collect()
+    assert len(want) > 500 and [tuple(r) for r in got] == sorted(want)
